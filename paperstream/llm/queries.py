@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperstream.llm import encode, mix, quantiles, split, topn
+from paperstream.llm import cutoff, encode, mix, quantiles, split, topn
 from paperstream.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.cut_values(table(spark, d, "documents"), table(spark, d, "candidates"))
+
+
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.cut_shares(table(spark, d, "documents"), table(spark, d, "candidates"))
+
+
+def p1_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.limits(table(spark, d, "documents"), table(spark, d, "candidates"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(table(spark, d, "field_candidates"), 3).select("doc_id", "field", "gen_seq")
 
@@ -41,4 +53,4 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p4_percentiles, p6_ids, p6_decoded, p7_mix, p7_shares, p8_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_shares, p1_lengths, p2_found, p4_percentiles, p6_ids, p6_decoded, p7_mix, p7_shares, p8_pieces)}
