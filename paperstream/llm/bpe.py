@@ -66,19 +66,10 @@ def encoding(folder: str, name: str = "byte_bpe_50k.tiktoken"):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class Sizes(dict):
-    """Token count by word, of words seen so far."""
-
-    def __init__(self, folder: str):
-        self.encoder = encoding(folder)
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        n = self[word] = len(self.encoder.encode_ordinary(clean(word)))
-        return n
-
-
 def clean(text: str) -> str:
-    """Lone surrogates cannot be written as UTF-8; they become the replacement character."""
-    return text.encode("utf-8", "replace").decode("utf-8") if any("\ud800" <= c <= "\udfff" for c in text) else text
+    """Lone surrogates cannot be written as UTF-8; each becomes a question mark."""
+    try:
+        text.encode()
+        return text
+    except UnicodeEncodeError:
+        return text.encode("utf-8", "replace").decode()

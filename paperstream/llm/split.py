@@ -48,7 +48,7 @@ class SparseTable:
 
 
 class Words(dict):
-    """word -> (tokens, characters, break it makes before it, break it makes after it) as positions in parallel lists; one per worker."""
+    """word -> its row in `facts`: tokens, characters, break after it, lines it consists of; one per worker."""
 
     def __init__(self, folder: str):
         self.encoder = bpe.encoding(folder)
@@ -56,35 +56,31 @@ class Words(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.tokens: list[int] = []
-        self.chars: list[int] = []
-        self.after: list[int] = []
-        self.blank: list[int] = []
+        self.facts = np.zeros((1 << 12, 4), np.int64)
+
+    def size(self, text: str) -> int:
+        return len(self.encoder.encode_ordinary(text))
 
     def __missing__(self, word: str) -> int:
-        at = self[word] = len(self.tokens)
-        self.tokens.append(len(self.encoder.encode_ordinary(bpe.clean(word))))
-        self.chars.append(len(word))
+        at = len(self)
+        if at == len(self.facts):
+            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
         body = word.rstrip()
         lines = word.count("\n") + word.count("\r") - word.count("\r\n")
-        self.blank.append(0 if body else lines)
         end = body[-1:]
-        self.after.append((5 if lines > 1 else 4) if lines else 3 if end in _SENTENCE else 2 if end in _CLAUSE else 1)
+        after = (5 if lines > 1 else 4) if lines else 3 if end in _SENTENCE else 2 if end in _CLAUSE else 1
+        self.facts[at] = self.size(word), len(word), after, 0 if body else lines
+        self[word] = at
         return at
 
 
-def _fits(known: Words, text: str, most: int) -> bool:
-    return len(known.encoder.encode_ordinary(bpe.clean(text))) <= most
-
-
 class Cutter:
     """The boundaries of one text, cut under any number of profiles."""
 
     def __init__(self, text: str, known: Words, words: list[str], longest: int):
         self.text, self.known = text, known
         idx = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        take = lambda values: np.array(values, np.int64)[idx]
-        tokens, chars, after, blank = (take(v) for v in (known.tokens, known.chars, known.after, known.blank))
+        tokens, chars, after, blank = known.facts[idx].T
         self.words = words
         self.token_at = np.r_[0, np.cumsum(tokens)]  # boundary b lies after word b-1
         self.char_at = np.r_[0, np.cumsum(chars)]
@@ -105,7 +101,7 @@ class Cutter:
         if self.at[b] == token:
             return token, self.chars[b]
         word = self.words[b]
-        pieces = self.known.encoder.decode_tokens_bytes(self.known.encoder.encode_ordinary(bpe.clean(word)))
+        pieces = self.known.encoder.decode_tokens_bytes(self.known.encoder.encode_ordinary(word))
         data = b"".join(pieces)
         ends = np.cumsum([len(p) for p in pieces]).tolist()
         k = token - self.at[b]
@@ -115,6 +111,18 @@ class Cutter:
             return self.at[b], self.chars[b]
         return self.at[b] + k, self.chars[b] + len(data[: ends[k - 1]].decode("utf-8"))
 
+    def _alone(self, s: int, s_char: int, e: int, e_char: int) -> int:
+        """Tokens of text[s_char:e_char] encoded by itself: those within the text, but for words cut at either end, which are encoded anew with a neighbour."""
+        first, last = bisect_left(self.at, s), bisect_right(self.at, e) - 1
+        whole_start, whole_end = self.at[first] == s, self.at[last] == e
+        if whole_start and whole_end:
+            return e - s
+        lead = first if whole_start else min(first + 1, len(self.at) - 1)
+        trail = last if whole_end else max(last - 1, 0)
+        if lead >= trail:
+            return self.known.size(self.text[s_char:e_char])
+        return self.known.size(self.text[s_char : self.chars[lead]]) + self.at[trail] - self.at[lead] + self.known.size(self.text[self.chars[trail] : e_char])
+
     def pieces(self, limit: int, overlap: int) -> Iterator[tuple[int, int, int, int, int]]:
         """(first token, end token, first character, end character, strength of the end)."""
         if limit <= 0:
@@ -122,7 +130,7 @@ class Cutter:
         overlap = max(0, min(overlap, limit - 1))
         s, s_char = 0, 0
         while True:
-            if self.total - s <= limit and _fits(self.known, self.text[s_char:], limit):
+            if self.total - s <= limit and self._alone(s, s_char, self.total, len(self.text)) <= limit:
                 yield s, self.total, s_char, len(self.text), 5
                 return
             most = limit
@@ -139,7 +147,7 @@ class Cutter:
                     if e <= s + overlap:
                         e, e_char = self._inside(s + overlap + 1, up=True)
                 # a piece that starts or ends within a word may take more tokens by itself than within the text
-                if most <= overlap + 1 or _fits(self.known, self.text[s_char:e_char], limit):
+                if most <= overlap + 1 or self._alone(s, s_char, e, e_char) <= limit:
                     break
                 most -= 1
             yield s, e, s_char, e_char, strength
