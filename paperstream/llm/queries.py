@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperstream.llm import cutoff, encode, mix, quantiles, split, topn
+from paperstream.llm import address, cutoff, encode, mix, quantiles, split, topn
 from paperstream.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(table(spark, d, "field_candidates"), 3).select("doc_id", "field", "gen_seq")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return address.same_location(table(spark, d, "receipt_cases"), table(spark, d, "field_candidates"))
+
+
+def p3_locations(spark: SparkSession, d: str) -> DataFrame:
+    return address.locations(table(spark, d, "receipt_cases"), table(spark, d, "field_candidates"))
+
+
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.latency_percentiles(table(spark, d, "lane_events"), table(spark, d, "candidates"))
 
@@ -53,4 +61,4 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_shares, p1_lengths, p2_found, p4_percentiles, p6_ids, p6_decoded, p7_mix, p7_shares, p8_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_shares, p1_lengths, p2_found, p3_found, p3_locations, p4_percentiles, p6_ids, p6_decoded, p7_mix, p7_shares, p8_pieces)}
