@@ -12,8 +12,15 @@ every equal copy of a cut value is cut.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperstream.llm.common import stored
 
@@ -32,107 +39,138 @@ SHORT_WORDS, SHORT_CHARS = 6, 60
 #: A text of at least this many characters with fewer than one sentence end in as many has no usable sentence ends.
 PROSE_CHARS = 600
 
-# What is put at the end of a value to mark that it was cut.
-_BRACKET_MARK = r"\s?\[(?:cut|truncated|continued|more|\+\d+ (?:more )?(?:chars?|bytes?))\]"
-_MARK = rf"((?<!\.)\.\.\.|…|{_BRACKET_MARK})$"
-#: A last line that is a page's number.
-_PAGE = r"^[\W\d]*([ivxlc]+|\d+)[\W\d]*$"
-_TERMINAL = r"[.。!！?？|:;；_\-=*)\]”\"»]$"
-
-
-def shape(line: Column) -> Column:
-    """A short line with its names, numbers and rules replaced: 'Net Pay: $1,204.50' -> 'X X: $0,0.0'. Single words stay as they are."""
-    s = F.regexp_replace(line, r"\s+", " ")
-    s = F.when(s.contains(" "), F.regexp_replace(s, r"\b\p{Lu}[\p{L}\d]*\p{Ll}[\p{L}\d]*", "X")).otherwise(s)
-    s = F.regexp_replace(s, r"\b\p{Lu}{2,}-\d+", "A-0")
-    return F.regexp_replace(F.regexp_replace(s, r"\d+", "0"), r"([_.\-=*])\1{2,}", "~")
-
+# What is put at the end of a value to mark that it was cut; ends of sentences, rows and rules; page numbers.
+_MARK = re.compile(r"((?<!\.)\.\.\.|…|\s?\[(?:cut|truncated|continued|more|\+\d+ (?:more )?(?:chars?|bytes?))\])$")
+_TERMINAL = re.compile(r"[.。!！?？|:;；_\-=*)\]”\"»]$")
+_PAGE = re.compile(r"^[\W\d]*([ivxlc]+|\d+)[\W\d]*$")
+#: Half a character, or a hyphen behind the part of a word.
+_BROKEN = re.compile(r"(\ufffd|[^\W\d_A-Z]-)$")
+_SENTENCE_END = re.compile(r"[.。！？?!]\s")
+_NAME = re.compile(r"\b[A-ZÀ-Þ]\w*[a-zß-ÿ]\w*")
+_CODE = re.compile(r"\b[A-Z]{2,}-\d+")
+_RULE = re.compile(r"([_.\-=*])\1{2,}")
+_DIGITS = re.compile(r"\d+")
+
+
+def shape(line: str) -> str:
+    """A short line with its names, codes, numbers and rules replaced: 'Net Pay: $1,204.50' -> 'X X: $0,0.0'. Single words stay as they are."""
+    line = " ".join(line.split())
+    if " " in line:
+        line = _NAME.sub("X", line)
+    return _RULE.sub("~", _DIGITS.sub("0", _CODE.sub("A-0", line)))
+
+
+def _is_short(line: str) -> bool:
+    return len(line) <= SHORT_CHARS and line.count(" ") < SHORT_WORDS
+
+
+FEATURES = T.StructType([
+    *(T.StructField(c, T.StringType()) for c in ("tab", "rec_key", "fld", "hfld", "grp")),
+    *(T.StructField(c, T.IntegerType()) for c in ("chars", "bytes", "body")),
+    T.StructField("hash", T.BinaryType()),
+    *(T.StructField(c, T.BooleanType()) for c in ("longer", "bracket", "marked", "attached", "broken", "terminal", "page", "unbroken")),
+    T.StructField("shape", T.StringType()), T.StructField("inner", T.LongType()),
+])
+
+
+def _digest(v: str) -> tuple:
+    """chars, bytes, body, hash, and the signs of the end of one value."""
+    end = v[-2000:].rstrip() or v.rstrip()
+    line = end[max(end.rfind("\n"), end.rfind("\r")) + 1 :].strip()
+    found = _MARK.search(end)
+    mark = found.group(1) if found else ""
+    raw = v.encode("utf-8", "replace")
+    terminal, short = bool(_TERMINAL.search(end)), _is_short(line)
+    # dots set off by a space are leaders or a phrase of the form, not put there by a cut
+    before = end[-len(mark) - 1 : -len(mark)] if mark else ""
+    # only the end of a prose line asks whether the text has sentence ends at all
+    unbroken = not terminal and not short and len(v) >= PROSE_CHARS and len(_SENTENCE_END.findall(v)) * PROSE_CHARS < len(v)
+    return (
+        len(v), len(raw), len(v) - len(mark), hashlib.blake2b(raw, digest_size=16).digest(),
+        mark.lstrip().startswith("["), bool(mark), bool(before) and not before.isspace() and before not in ".…", bool(_BROKEN.search(end)),
+        terminal, bool(_PAGE.search(line)) and short, unbroken, shape(line) if short else None,
+    )
 
-def _is_short(line: Column) -> Column:
-    return (F.length(line) <= SHORT_CHARS) & (F.size(F.split(line, " ")) <= SHORT_WORDS)
 
+def _features(documents: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One pass over the texts: a narrow row of all that the verdict needs per non-blank value, and per task the count of each short line's shape within the texts.
 
-def _trimmed(v: Column) -> Column:
-    return F.regexp_replace(v, r"\s+$", "")
+    `longer`: the attempt's other form goes on where this one ends. A text that is just its markdown in one line is
+    judged as that markdown (hfld). Rows of shapes have only shape and inner.
+    """
 
+    def lines_of(v: str, counts: Counter, shapes: dict[str, str | None]) -> None:
+        for line in v.rstrip().split("\n")[:-1]:
+            if 0 < len(line) <= SHORT_CHARS:
+                if line not in shapes:
+                    if len(shapes) > 200_000:
+                        shapes.clear()
+                    own = line.strip()
+                    shapes[line] = shape(own) if own and not _TERMINAL.search(own) and _is_short(own) else None
+                if (s := shapes[line]) is not None:
+                    counts[s] += 1
+
+    def run(batches: Iterator[pa.RecordBatch], tab: str) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        shapes: dict[str, str | None] = {}
+        for batch in batches:
+            rows = []
+            for key, grp, *forms in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if tab == "documents":
+                    if forms[0] and not forms[0].isspace():
+                        rows.append((tab, key, "text", "text", grp, False, _digest(forms[0])))
+                        lines_of(forms[0], counts, shapes)
+                    continue
+                md, tx = (x or "" for x in forms)
+                m, t = " ".join(md.split()), " ".join(tx.split())
+                m_body, t_body = _MARK.sub("", m).rstrip(), _MARK.sub("", t).rstrip()
+                of_md = _digest(md) if m else None
+                if of_md:
+                    rows.append((tab, key, "markdown", "markdown", grp, bool(m_body) and len(t_body) > len(m_body) + 1 and t.startswith(m_body), of_md))
+                    lines_of(md, counts, shapes)
+                if t and m == t:
+                    rows.append((tab, key, "text", "markdown", grp, False, of_md))
+                elif t:
+                    rows.append((tab, key, "text", "text", grp, bool(t_body) and len(m_body) > len(t_body) + 1 and m.startswith(t_body), _digest(tx)))
+            yield _to_batch([(r[0], r[1], r[2], r[3], r[4], *r[6][:4], r[5], *r[6][4:], None) for r in rows])
+        yield _to_batch([(None,) * 17 + (s, n) for s, n in counts.items()])
+
+    d = documents.select(F.col("doc_id").cast("string"), F.col("source"), "text")
+    c = candidates.select(F.concat_ws(":", "doc_id", F.col("cand_seq").cast("string")), F.lower(F.trim("engine")), "markdown", "text")
+    return d.mapInArrow(lambda b: run(b, "documents"), FEATURES).unionByName(c.mapInArrow(lambda b: run(b, "candidates"), FEATURES))
+
+
+def _to_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "integer": pa.int32(), "boolean": pa.bool_(), "long": pa.int64(), "binary": pa.binary()}
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in FEATURES]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.dataType.typeName()]) for c, f in zip(columns, FEATURES, strict=True)], names=FEATURES.names)
 
-def _values(documents: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(tab, rec_key, fld, hfld, grp, v, longer): one row per non-blank value; longer: the attempt's other form goes on where this one ends.
 
-    A text that is just its markdown in one line is judged as that markdown (v, hfld).
-    """
-    d = documents.select(
-        F.lit("documents").alias("tab"), F.col("doc_id").cast("string").alias("rec_key"), F.lit("text").alias("fld"), F.lit("text").alias("hfld"),
-        F.col("source").alias("grp"), F.col("text").alias("v"), F.lit(False).alias("longer"),
-    )
-    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " "))
-    c = candidates.select(
-        F.concat_ws(":", "doc_id", F.col("cand_seq").cast("string")).alias("rec_key"), F.lower(F.trim(F.col("engine"))).alias("grp"),
-        "markdown", "text", flat("markdown").alias("m"), flat("text").alias("t"),
-    )
-    body = lambda x: F.trim(F.regexp_replace(F.col(x), _MARK, ""))
-    goes_on = lambda x, y: (F.length(body(x)) > 0) & F.col(y).startswith(body(x)) & (F.length(body(y)) > F.length(body(x)) + 1)
-    same = (F.col("m") == F.col("t")) & (F.col("m") != "")
-    form = lambda fld, hfld, v, longer: F.struct(F.lit(fld).alias("fld"), hfld.alias("hfld"), v.alias("v"), longer.alias("longer"))
-    md = form("markdown", F.lit("markdown"), F.col("markdown"), goes_on("m", "t"))
-    tx = form("text", F.when(same, "markdown").otherwise("text"), F.when(same, F.col("markdown")).otherwise(F.col("text")), goes_on("t", "m"))
-    c = c.select(F.lit("candidates").alias("tab"), "rec_key", "grp", F.explode(F.array(md, tx)).alias("x")).select("tab", "rec_key", "x.fld", "x.hfld", "grp", "x.v", "x.longer")
-    return d.unionByName(c).where(F.col("v").isNotNull() & F.col("v").rlike(r"\S"))
-
-
-def _features(values: DataFrame) -> DataFrame:
-    """Narrow rows of all that the verdict needs; the texts themselves aren't carried on. Repeated rows become one."""
-    v = values.withColumn("tail", F.expr("right(v, 600)")).withColumn("end", _trimmed(F.col("tail")))
-    v = v.withColumn("mark", F.regexp_extract("end", _MARK, 1))
-    v = v.withColumn("line", F.trim(F.regexp_extract(F.col("end"), r"([^\n\r]*)$", 1)))
-    v = v.withColumn("body_end", F.expr("rtrim(left(end, length(end) - length(mark)))"))
-    sentence_ends = F.length("v") - F.length(F.regexp_replace("v", r"[.。！？?!]\s", "."))
-    return v.select(
-        "tab", "rec_key", "fld", "hfld", "grp", "longer",
-        F.length("v").alias("chars"), F.octet_length("v").alias("bytes"), (F.length("v") - F.length("mark")).alias("body"),
-        F.xxhash64("v").alias("hash"),
-        (F.col("mark").startswith("[") | F.ltrim("mark").startswith("[")).alias("bracket"),
-        (F.col("mark") != "").alias("marked"),
-        # dots set off by a space are leaders or a phrase of the form, not put there by a cut
-        ((F.col("mark") != "") & F.expr("left(right(end, length(mark) + 1), 1)").rlike(r"[^\s.…]")).alias("attached"),
-        # half a character, or a hyphen behind the part of a word
-        F.col("end").rlike(r"(\x{FFFD}|\p{Ll}-)$").alias("broken"),
-        F.col("end").rlike(_TERMINAL).alias("terminal"),
-        F.col("body_end").rlike(r"[.。!！?？|]$").alias("body_terminal"),
-        F.when(_is_short(F.col("line")), shape(F.col("line"))).alias("shape"),
-        # only prose ends ask for it
-        F.when(~F.col("end").rlike(_TERMINAL) & ~_is_short(F.col("line")) & (F.length("v") >= PROSE_CHARS), sentence_ends * PROSE_CHARS < F.length("v")).otherwise(False).alias("unbroken"),
-    ).distinct()
-
-
-def _line_shapes(documents: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(shape, inner): how often a short line of this shape stands within a text, its last line aside."""
-    texts = documents.select(F.col("text").alias("v")).unionByName(candidates.select(F.col("markdown").alias("v"))).where(F.col("v").contains("\n"))
-    whole = F.regexp_replace(F.col("v"), r"[\r\n]+[^\r\n]*\s*$", "\n")
-    lines = F.filter(F.split(whole, r"[\r\n]+"), lambda x: (F.length(x) <= SHORT_CHARS) & (F.length(x) > 0) & ~x.rlike(_TERMINAL))
-    each = texts.select(F.explode(lines).alias("line")).withColumn("line", F.trim("line")).where(_is_short(F.col("line")))
-    return each.groupBy(shape(F.col("line")).alias("shape")).agg(F.count(F.lit(1)).alias("inner")).where(F.col("inner") >= INNER_SUPPORT)
+GROUP = ["tab", "hfld", "grp"]
 
 
-GROUP = ["tab", "hfld", "grp"]
+def _length_counts(values: DataFrame) -> DataFrame:
+    units = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).cast("long").alias("len")) for u in ("chars", "bytes", "body")])).alias("u")
+    # a text that equals its markdown is one value
+    own = values.where(F.col("fld") == F.col("hfld")).select(*GROUP, units).select(*GROUP, "u.*")
+    return own.groupBy(*GROUP, "unit", "len").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def hazards(features: DataFrame) -> DataFrame:
-    """(tab, hfld, grp, unit, len, width, count, at_risk, expected, p): one test per length that occurs and window width.
+def hazards(counts: DataFrame) -> DataFrame:
+    """(tab, hfld, grp, unit, len, width, count, at_risk, expected, p) of (tab, hfld, grp, unit, len, cnt): one test per length that occurs and window width.
 
     The windows run over distinct lengths, whose number is bounded by the longest text and not by the rows.
     """
-    units = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).cast("long").alias("len")) for u in ("chars", "bytes", "body")])).alias("u")
-    # a text that equals its markdown is one value
-    counts = features.where((F.col("fld") == F.col("hfld")) | (F.col("tab") == "documents")).select(*GROUP, units).select(*GROUP, "u.*").groupBy(*GROUP, "unit", "len").agg(F.count(F.lit(1)).alias("cnt"))
     by = Window.partitionBy(*GROUP, "unit").orderBy("len")
     total = lambda lo, hi: F.coalesce(F.sum("cnt").over(by.rangeBetween(lo, hi)), F.lit(0))
+    whole = F.sum("cnt").over(Window.partitionBy(*GROUP, "unit"))
+    at_least = lambda x: whole - total(Window.unboundedPreceding, x - 1)  # noqa: E731 - values as long as len + x, by a running sum
     tests = None
     for w in WIDTHS:
         at = counts.select(
-            *GROUP, "unit", "len", F.lit(w).alias("width"), total(-(w - 1), 0).alias("count"), total(-(w - 1), Window.unboundedFollowing).alias("at_risk"),
+            *GROUP, "unit", "len", F.lit(w).alias("width"), total(-(w - 1), 0).alias("count"), at_least(-(w - 1)).alias("at_risk"),
             total(-(w - 1) - NEIGHBOURS, -w).alias("before"), total(1, NEIGHBOURS).alias("after"),
-            total(-(w - 1) - NEIGHBOURS, Window.unboundedFollowing).alias("risk_before"), total(1, Window.unboundedFollowing).alias("risk_after"),
+            at_least(-(w - 1) - NEIGHBOURS).alias("risk_before"), at_least(1).alias("risk_after"),
         )
         hazard = (F.col("before") + F.col("after") + 0.5) / (NEIGHBOURS * (F.col("risk_before") + F.col("risk_after")))
         at = at.withColumn("expected", F.col("at_risk") * w * hazard)
@@ -143,13 +181,15 @@ def hazards(features: DataFrame) -> DataFrame:
     return tests.select(*GROUP, "unit", "len", "width", "count", "at_risk", "expected", p.alias("p"))
 
 
-def significant_lengths(tests: DataFrame, fdr: float = FDR) -> DataFrame:
+def significant_lengths(counts: DataFrame, fdr: float = FDR) -> DataFrame:
     """(tab, hfld, grp, unit, len, sure): lengths kept by Benjamini-Hochberg; sure: nine in ten values there are in excess of the expected.
 
     Only tests with p <= fdr can be kept, and only these are ranked: few lengths, whatever the rows.
     """
-    m = tests.agg(F.count(F.lit(1)).alias("m"))
-    low = tests.where(F.col("p") <= fdr).withColumn("rank", F.row_number().over(Window.orderBy("p", *GROUP, "unit", "len", "width")))
+    counts = stored(counts, "length_counts")
+    m = counts.agg((F.count(F.lit(1)) * len(WIDTHS)).alias("m"))
+    low = hazards(counts).where(F.col("p") <= fdr).withColumn("rank", F.row_number().over(Window.orderBy("p", *GROUP, "unit", "len", "width")))
+    low = stored(low, "low_p")
     last = low.join(F.broadcast(m)).where(F.col("p") <= F.lit(fdr) * F.col("rank") / F.col("m")).agg(F.coalesce(F.max("rank"), F.lit(0)).alias("last"))
     kept = low.join(F.broadcast(last)).where((F.col("rank") <= F.col("last")) & (F.col("count") >= LEAST_COUNT) & (F.col("count") >= LEAST_RATIO * F.col("expected")))
     kept = kept.withColumn("sure", F.col("count") - F.col("expected") >= 0.9 * F.col("count"))
@@ -159,23 +199,25 @@ def significant_lengths(tests: DataFrame, fdr: float = FDR) -> DataFrame:
 
 def judged(documents: DataFrame, candidates: DataFrame) -> DataFrame:
     """(tab, rec_key, fld, grp, cut): every non-blank value once, with the verdict."""
-    feats = stored(_features(_values(documents, candidates)), "ends")
-    lengths = significant_lengths(hazards(feats))
-    lengths = stored(lengths, "lengths")
+    seen = stored(_features(documents, candidates), "ends")
+    feats = seen.where(F.col("tab").isNotNull()).drop("inner").distinct()
+    lengths = stored(significant_lengths(_length_counts(feats)), "lengths")
     for unit in ("chars", "bytes", "body"):
         at = lengths.where(F.col("unit") == unit).select(*[F.col(g).alias(f"_{g}") for g in GROUP], F.col("len").cast("int").alias("_len"), F.col("sure").alias(f"sure_{unit}"))
         same = (F.col(unit) == F.col("_len")) & F.col("tab").eqNullSafe(F.col("_tab")) & F.col("hfld").eqNullSafe(F.col("_hfld")) & F.col("grp").eqNullSafe(F.col("_grp"))
         feats = feats.join(at, same, "left").drop("_tab", "_hfld", "_grp", "_len")
     flags = [F.col(f"sure_{u}") for u in ("chars", "bytes", "body")]
     feats = feats.withColumns({"at_limit": F.greatest(*[f.isNotNull() for f in flags]), "sure": F.coalesce(F.greatest(*flags), F.lit(False))})
-    ends = feats.where(F.col("shape").isNotNull() & ~F.col("at_limit")).groupBy("shape").agg(F.count(F.lit(1)).alias("ends"))
+    feats = stored(feats.drop("sure_chars", "sure_bytes", "sure_body", "chars", "bytes", "body"), "at_limits")
     n = feats.agg(F.count(F.lit(1)).alias("n"))
+    ends = feats.where(F.col("shape").isNotNull() & ~F.col("at_limit")).groupBy("shape").agg(F.count(F.lit(1)).alias("ends"))
     ends = ends.join(F.broadcast(n)).where(F.col("ends") >= F.greatest(F.lit(5.0), F.col("n") * END_SHARE)).select("shape")
-    natural = ends.unionByName(_line_shapes(documents, candidates).select("shape")).distinct().withColumn("natural", F.lit(True))
+    inner = seen.where(F.col("tab").isNull()).groupBy("shape").agg(F.sum("inner").alias("inner")).where(F.col("inner") >= INNER_SUPPORT).select("shape")
+    natural = ends.unionByName(inner).distinct().withColumn("natural", F.lit(True))
     feats = feats.join(natural, "shape", "left").withColumn("natural", F.coalesce("natural", F.lit(False)))
     one_form = (F.col("tab") == "documents") | (F.col("hfld") == "markdown")  # has its own lines
     names_only = F.coalesce(F.col("shape").rlike(r"^X( X)*$") | ~F.col("shape").contains(" "), F.lit(False))
-    open_end = ~F.col("terminal") & ~F.col("natural") & ~F.coalesce(F.col("shape").rlike(_PAGE), F.lit(False))
+    open_end = ~F.col("terminal") & ~F.col("natural") & ~F.col("page")
     at_limit = F.col("at_limit") & ((F.col("marked") & ~(F.col("natural") & ~F.col("attached"))) | (~F.col("marked") & (open_end | (F.col("sure") & ~F.col("terminal") & names_only))))
     elsewhere = F.col("bracket") | (F.col("attached") & ~F.col("natural")) | F.col("broken") | (one_form & ~F.col("marked") & open_end & ~F.col("unbroken"))
     verdict = feats.withColumn("cut", F.coalesce(F.col("longer") | at_limit | elsewhere, F.lit(False)))
@@ -200,4 +242,4 @@ def cut_shares(documents: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def limits(documents: DataFrame, candidates: DataFrame) -> DataFrame:
     """(tab, hfld, grp, unit, len, sure): the significant lengths themselves."""
-    return significant_lengths(hazards(stored(_features(_values(documents, candidates)), "ends")))
+    return significant_lengths(_length_counts(_features(documents, candidates).where(F.col("tab").isNotNull()).drop("inner").distinct()))
