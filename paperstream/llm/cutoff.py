@@ -187,11 +187,11 @@ def significant_lengths(counts: DataFrame, fdr: float = FDR) -> DataFrame:
     Only tests with p <= fdr can be kept, and only these are ranked: few lengths, whatever the rows.
     """
     counts = stored(counts, "length_counts")
-    m = counts.agg((F.count(F.lit(1)) * len(WIDTHS)).alias("m"))
+    m = counts.count() * len(WIDTHS)
     low = hazards(counts).where(F.col("p") <= fdr).withColumn("rank", F.row_number().over(Window.orderBy("p", *GROUP, "unit", "len", "width")))
     low = stored(low, "low_p")
-    last = low.join(F.broadcast(m)).where(F.col("p") <= F.lit(fdr) * F.col("rank") / F.col("m")).agg(F.coalesce(F.max("rank"), F.lit(0)).alias("last"))
-    kept = low.join(F.broadcast(last)).where((F.col("rank") <= F.col("last")) & (F.col("count") >= LEAST_COUNT) & (F.col("count") >= LEAST_RATIO * F.col("expected")))
+    last = low.where(F.col("p") <= F.lit(fdr) * F.col("rank") / m).agg(F.coalesce(F.max("rank"), F.lit(0))).first()[0] if m else 0
+    kept = low.where((F.col("rank") <= last) & (F.col("count") >= LEAST_COUNT) & (F.col("count") >= LEAST_RATIO * F.col("expected")))
     kept = kept.withColumn("sure", F.col("count") - F.col("expected") >= 0.9 * F.col("count"))
     each = kept.select(*GROUP, "unit", F.explode(F.sequence(F.col("len") - F.col("width") + 1, F.col("len"))).alias("len"), ((F.col("width") == 1) & F.col("sure")).alias("sure"))
     return each.groupBy(*GROUP, "unit", "len").agg(F.max("sure").alias("sure"))
@@ -209,9 +209,9 @@ def judged(documents: DataFrame, candidates: DataFrame) -> DataFrame:
     flags = [F.col(f"sure_{u}") for u in ("chars", "bytes", "body")]
     feats = feats.withColumns({"at_limit": F.greatest(*[f.isNotNull() for f in flags]), "sure": F.coalesce(F.greatest(*flags), F.lit(False))})
     feats = stored(feats.drop("sure_chars", "sure_bytes", "sure_body", "chars", "bytes", "body"), "at_limits")
-    n = feats.agg(F.count(F.lit(1)).alias("n"))
+    n = feats.count()
     ends = feats.where(F.col("shape").isNotNull() & ~F.col("at_limit")).groupBy("shape").agg(F.count(F.lit(1)).alias("ends"))
-    ends = ends.join(F.broadcast(n)).where(F.col("ends") >= F.greatest(F.lit(5.0), F.col("n") * END_SHARE)).select("shape")
+    ends = ends.where(F.col("ends") >= max(5.0, n * END_SHARE)).select("shape")
     inner = seen.where(F.col("tab").isNull()).groupBy("shape").agg(F.sum("inner").alias("inner")).where(F.col("inner") >= INNER_SUPPORT).select("shape")
     natural = ends.unionByName(inner).distinct().withColumn("natural", F.lit(True))
     feats = feats.join(natural, "shape", "left").withColumn("natural", F.coalesce("natural", F.lit(False)))
