@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperstream.llm import address, cutoff, encode, mix, quantiles, split, topn
+from paperstream.llm import address, cutoff, encode, mix, quantiles, scan_repair, split, topn
 from paperstream.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,18 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.latency_percentiles(table(spark, d, "lane_events"), table(spark, d, "candidates"))
 
 
+def _read(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.read_all(table(spark, d, "scan_pages"), table(spark, d, "candidates"), table(spark, d, "documents"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.noisy_lines(_read(spark, d))
+
+
+def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.repaired(_read(spark, d))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"))
 
@@ -61,4 +73,4 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_shares, p1_lengths, p2_found, p3_found, p3_locations, p4_percentiles, p6_ids, p6_decoded, p7_mix, p7_shares, p8_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_shares, p1_lengths, p2_found, p3_found, p3_locations, p4_percentiles, p5_found, p5_paragraphs, p6_ids, p6_decoded, p7_mix, p7_shares, p8_pieces)}
