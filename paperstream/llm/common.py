@@ -56,10 +56,15 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Estimates beyond this are Catalyst's word for an unknown size.
+UNKNOWN_BYTES = 1 << 56
+
+
 def bucket_count(df: DataFrame, bytes_each: int = 32 << 20) -> int:
     """So many buckets that each holds about bytes_each, and no fewer than the session's shuffle partitions."""
     spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-estimated_bytes(df) // bytes_each))
+    least, size = int(spark.conf.get("spark.sql.shuffle.partitions")), estimated_bytes(df)
+    return least if size >= UNKNOWN_BYTES else max(least, -(-size // bytes_each))
 
 
 def running_sums(df: DataFrame, keys: list[str], order: list[str], weight: str, name: str, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
