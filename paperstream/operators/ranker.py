@@ -53,8 +53,8 @@ def train(rows: DataFrame, keys: list[str], expected: str = "expected_norm", epo
     record = F.struct(*keys, "field")
     group = Window.partitionBy(*keys, "field")
     good = with_features(rows).withColumns({"_n": F.count(F.lit(1)).over(group), "_right": (F.col("normalized_value") == F.col(expected)).cast("int")}).withColumn("_hit", F.max("_right").over(group)).where("_n > 1 and _hit = 1")
-    lists = good.groupBy(F.xxhash64(record).alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", "_right", "features"))).alias("c")).orderBy("id").limit(TRAINING_RECORDS)
-    data = [[(r["_right"], r["features"]) for r in row["c"]] for row in lists.collect()]
+    lists = good.groupBy(F.xxhash64(record).alias("id")).agg(F.collect_list(F.struct("rank", "_right", "features")).alias("c")).orderBy("id").limit(TRAINING_RECORDS)
+    data = [[(r["_right"], r["features"]) for r in sorted(row["c"], key=lambda r: r["rank"])] for row in lists.collect()]
     w = dict(P.RANKER_WEIGHTS)
     dot = lambda f: sum(w.get(k, 0.0) * v for k, v in f.items())
     for _ in range(epochs):
