@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,6 +17,11 @@ def _col(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def squeeze(c: Column | str) -> Column:
     """White-space runs become one space, none at the ends; null becomes empty."""
     return F.trim(F.regexp_replace(_col(c), r"(?U)\s+", " "))
@@ -91,32 +97,41 @@ def _part(text: Column, pattern: str, group: int) -> Column:
     return F.when(found != "", found).otherwise(None).cast("int")
 
 
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """The groups of a pattern as whole numbers, null where it isn't found; the pattern runs once."""
+    whole = let(F.regexp_extract(text, pattern, 0), lambda found: F.when(found != "", F.array(*[F.regexp_extract(found, pattern, i) for i in range(1, n + 1)])))
+    return F.transform(whole, lambda x: x.try_cast("int"))
+
+
 def _month_date(text: Column) -> Column:
     pattern = f"(?iU){P.MONTH_DATE}"
-    name = F.lower(F.substring(F.regexp_extract(text, pattern, 1), 1, 3))
     month = F.create_map(*[F.lit(x) for i, m in enumerate(P.MONTH_NAMES) for x in (m[:3], i + 1)])
-    return _iso(_part(text, pattern, 3), F.try_element_at(month, name), _part(text, pattern, 2))
+    found = F.regexp_extract(text, pattern, 0)
+    name = lambda x: F.lower(F.substring(x, 1, 3))
+    return let(found, lambda x: F.when(x != "", _iso(_part(x, pattern, 3), F.try_element_at(month, name(x)), _part(x, pattern, 2))))
+
+
+def _us_date(clean: Column) -> Column:
+    def read(g: Column) -> Column:
+        a, b, y = F.get(g, 0), F.get(g, 1), F.get(g, 2)
+        year = F.when(y < 100, y + 2000).otherwise(y)
+        return F.when(a.between(1, 12) & b.between(1, 31), _iso(year, a, b)).otherwise(_iso(year, b, a))
+
+    return let(_groups(clean, r"(?U)\b(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})\b", 3), read)
 
 
 def date_text(c: Column | str) -> Column:
     """YYYY-MM-DD of the first date: month names, then ISO, then month/day/year (day/month/year where only that is possible). Ranges are checked, the calendar isn't: February 31 passes."""
     raw = F.trim(_col(c))
     clean = F.translate(raw, "OoIl|", "00111")
-    iso = rf"(?U)\b((?:19|20)\d{{2}})[-/.](\d{{1,2}})[-/.](\d{{1,2}})\b"
-    us = rf"(?U)\b(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}|\d{{2}})\b"
-    a, b, y = (_part(clean, us, i) for i in (1, 2, 3))
-    year = F.when(y < 100, y + 2000).otherwise(y)
-    month_first = a.between(1, 12) & b.between(1, 31)
-    return F.coalesce(
-        _month_date(raw), _iso(*(_part(clean, iso, i) for i in (1, 2, 3))), _month_date(clean),
-        F.when(month_first, _iso(year, a, b)).otherwise(_iso(year, b, a)), F.lit(""),
-    )
+    iso = let(_groups(clean, r"(?U)\b((?:19|20)\d{2})[-/.](\d{1,2})[-/.](\d{1,2})\b", 3), lambda g: _iso(F.get(g, 0), F.get(g, 1), F.get(g, 2)))
+    return F.coalesce(_month_date(raw), iso, _month_date(clean), _us_date(clean), F.lit(""))
 
 
 def truth_date(c: Column | str) -> Column:
     """date_text, or else the squashed lower-case text."""
     rest = F.regexp_replace(F.translate(F.lower(squeeze(c)), "/.", "--"), "[^0-9a-z-]+", "")
-    return F.when(date_text(c) != "", date_text(c)).otherwise(rest)
+    return let(date_text(c), lambda d: F.when(d != "", d).otherwise(rest))
 
 
 def by_kind(c: Column | str, kind: Column) -> Column:
@@ -135,25 +150,27 @@ def receipt_key(c: Column | str) -> Column:
 def receipt_date(c: Column | str) -> Column:
     """DD/MM/YYYY, day first, misread digits repaired; empty unless in 2010..2035. Years after 2035 keep their last digit only."""
     clean = F.translate(F.trim(_col(c)), *P.RECEIPT_DATE_READ)
-    first = clean.rlike(P.RECEIPT_DAY_FIRST)
-    day = F.when(first, _part(clean, P.RECEIPT_DAY_FIRST, 1)).otherwise(_part(clean, P.RECEIPT_YEAR_FIRST, 3))
-    month = F.when(first, _part(clean, P.RECEIPT_DAY_FIRST, 2)).otherwise(_part(clean, P.RECEIPT_YEAR_FIRST, 2))
-    year = F.when(first, _part(clean, P.RECEIPT_DAY_FIRST, 3)).otherwise(_part(clean, P.RECEIPT_YEAR_FIRST, 1))
-    year = F.when(first & (year < 100), year + 2000).otherwise(year)
-    year = F.when((year > 2035) & (year <= 2099), 2010 + year % 10).otherwise(year)
-    good = day.between(1, 31) & month.between(1, 12) & year.between(2010, 2035)
-    return F.coalesce(F.when(good, F.format_string("%02d/%02d/%04d", day, month, year)), F.lit(""))
+    year_first = F.transform(F.array(F.lit(2), F.lit(1), F.lit(0)), lambda i: F.get(_groups(clean, P.RECEIPT_YEAR_FIRST, 3), i))
+    day_first = let(_groups(clean, P.RECEIPT_DAY_FIRST, 3), lambda g: F.array(F.get(g, 0), F.get(g, 1), F.when(F.get(g, 2) < 100, F.get(g, 2) + 2000).otherwise(F.get(g, 2))))
+
+    def write(g: Column) -> Column:
+        day, month, y = F.get(g, 0), F.get(g, 1), F.get(g, 2)
+        year = F.when((y > 2035) & (y <= 2099), 2010 + y % 10).otherwise(y)
+        return F.when(day.between(1, 31) & month.between(1, 12) & year.between(2010, 2035), F.format_string("%02d/%02d/%04d", day, month, year))
+
+    return F.coalesce(let(F.when(clean.rlike(P.RECEIPT_DAY_FIRST), day_first).otherwise(year_first), write), F.lit(""))
 
 
 def receipt_date_variants(c: Column | str) -> Column:
     """The five printed forms of a receipt's date; empty array without one."""
-    d = F.split(receipt_date(c), "/")
-    day, month, year = F.get(d, 0), F.get(d, 1), F.get(d, 2)
-    forms = F.array(
-        F.concat_ws("/", day, month, year), F.concat_ws("-", day, month, year), F.concat_ws(".", day, month, year),
-        F.concat_ws("/", day.try_cast("int").cast("string"), month.try_cast("int").cast("string"), year), F.concat_ws("/", day, month, F.substring(year, 3, 2)),
-    )
-    return F.when(receipt_date(c) != "", F.array_distinct(forms)).otherwise(F.array().cast("array<string>"))
+
+    def forms(d: Column) -> Column:
+        day, month, year = F.get(d, 0), F.get(d, 1), F.get(d, 2)
+        plain = F.concat_ws("/", day.try_cast("int").cast("string"), month.try_cast("int").cast("string"), year)
+        all_ = F.array(F.concat_ws("/", d), F.concat_ws("-", d), F.concat_ws(".", d), plain, F.concat_ws("/", day, month, F.substring(year, 3, 2)))
+        return F.when(F.size(d) == 3, F.array_distinct(all_)).otherwise(F.array().cast("array<string>"))
+
+    return let(F.split(receipt_date(c), "/"), forms)
 
 
 def receipt_line(c: Column | str) -> Column:

@@ -51,7 +51,7 @@ def consensus_keys(spark: SparkSession, d: str) -> DataFrame:
 def text_quality(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "documents")
     q = Q.quality("text", F.lit(None).cast("double"))
-    return x.select("doc_id", q.alias("q")).select("doc_id", "q.chars", "q.table_rows", F.round("q.numeric_fidelity_score", 2).alias("numeric"), F.round("q.structure_score", 2).alias("structure"))
+    return x.select("doc_id", q.alias("q")).select("doc_id", "q.chars", "q.table_rows", F.col("q.numeric_fidelity_score").alias("numeric"), F.col("q.structure_score").alias("structure"))
 
 
 def text_counts(spark: SparkSession, d: str) -> DataFrame:

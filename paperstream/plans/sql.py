@@ -257,11 +257,87 @@ SELECT source_key, updated_at, CAST(numeric_count AS INT) AS numeric_count, n0 I
     CASE WHEN n0 IS NULL THEN 0.0 ELSE round(change, 3) END AS change_pct, CASE WHEN n0 IS NULL THEN 'none' WHEN change >= 0.35 THEN 'high' WHEN change >= 0.15 THEN 'medium' ELSE 'low' END AS risk_band FROM c
 """
 
+_MONTH = r"(?i)\b(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\s+(\d{1,2}),?\s+((?:19|20)\d{2})\b"
+
+
+def _ymd(y: str, m: str, d: str) -> str:
+    return f"CASE WHEN {y} BETWEEN 1900 AND 2099 AND {m} BETWEEN 1 AND 12 AND {d} BETWEEN 1 AND 31 THEN printf('%04d-%02d-%02d', {y}, {m}, {d}) END"
+
+
+def _named(c: str) -> str:
+    part = lambda i: f"try_cast(regexp_extract({c}, '{_MONTH}', {i}) AS INT)"
+    month = f"list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower(left(regexp_extract({c}, '{_MONTH}', 1), 3)))"
+    return _ymd(part(3), month, part(2))
+
+
+_FIRST, _LAST = r"(\d{1,2})\s*[/-]\s*(\d{1,2})\s*[/-]?\s*((?:20)?\d{2,4})", r"(\d{4})\s*[/-]\s*(\d{1,2})\s*[/-]\s*(\d{1,2})"
+DATE_TEXTS = rf"""
+WITH v AS (
+    SELECT DISTINCT value, trim(value) AS raw, translate(trim(value), 'OoIl|', '00111') AS clean, translate(trim(value), 'OoQDIl|SsBeZz', '0000111558222') AS r
+    FROM field_candidates WHERE field IN ('date', 'due_date') AND value IS NOT NULL
+), p AS (
+    SELECT *, regexp_extract(clean, '\b((?:19|20)\d{{2}})[-/.](\d{{1,2}})[-/.](\d{{1,2}})\b', ['y', 'm', 'd']) AS i, regexp_extract(clean, '\b(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}|\d{{2}})\b', ['a', 'b', 'y']) AS u,
+        regexp_matches(r, '{_FIRST}') AS f, regexp_extract(r, '{_FIRST}', ['d', 'm', 'y']) AS x, regexp_extract(r, '{_LAST}', ['y', 'm', 'd']) AS z FROM v
+), n AS (
+    SELECT *, try_cast(i.y AS INT) AS iy, try_cast(i.m AS INT) AS im, try_cast(i.d AS INT) AS id, try_cast(u.a AS INT) AS a, try_cast(u.b AS INT) AS b, try_cast(u.y AS INT) + CASE WHEN try_cast(u.y AS INT) < 100 THEN 2000 ELSE 0 END AS y,
+        try_cast(CASE WHEN f THEN x.d ELSE z.d END AS INT) AS rd, try_cast(CASE WHEN f THEN x.m ELSE z.m END AS INT) AS rm, try_cast(CASE WHEN f THEN x.y ELSE z.y END AS INT) AS ry FROM p
+), k AS (
+    SELECT *, CASE WHEN f AND ry < 100 THEN ry + 2000 ELSE ry END AS ry1 FROM n
+), q AS (
+    SELECT *, CASE WHEN ry1 > 2035 AND ry1 <= 2099 THEN 2010 + ry1 % 10 ELSE ry1 END AS ry2 FROM k
+), o AS (
+    SELECT value, coalesce({_named('raw')}, {_ymd('iy', 'im', 'id')}, {_named('clean')}, CASE WHEN a BETWEEN 1 AND 12 AND b BETWEEN 1 AND 31 THEN {_ymd('y', 'a', 'b')} ELSE {_ymd('y', 'b', 'a')} END, '') AS date_text,
+        CASE WHEN rd BETWEEN 1 AND 31 AND rm BETWEEN 1 AND 12 AND ry2 BETWEEN 2010 AND 2035 THEN printf('%02d/%02d/%04d', rd, rm, ry2) ELSE '' END AS receipt_date FROM q
+)
+SELECT value, date_text, receipt_date, CASE WHEN receipt_date = '' THEN 0 WHEN starts_with(receipt_date, '0') OR substr(receipt_date, 4, 1) = '0' THEN 5 ELSE 4 END AS n_forms FROM o
+"""
+
+ENGINE_COMPARISON = f"""
+WITH s AS (
+    SELECT * FROM ({STEP_SUMMARY}) WHERE engine IS NOT NULL AND case_count > 0
+), r AS (
+    SELECT (SELECT engine FROM s ORDER BY score_avg DESC, engine LIMIT 1) AS best_engine, (SELECT engine FROM s WHERE engine <> 'tesseract' ORDER BY score_avg DESC, engine LIMIT 1) AS best_baseline,
+        (SELECT score_avg FROM s WHERE engine = 'tesseract') - (SELECT max(score_avg) FROM s WHERE engine <> 'tesseract') AS delta
+)
+SELECT best_engine, best_baseline, delta, CASE WHEN delta >= 10 THEN 'leads' WHEN delta >= 0 THEN 'comparable' ELSE 'baseline_leads' END AS verdict FROM r
+"""
+
+TEXT_QUALITY = f"""
+WITH t AS (
+    SELECT doc_id, coalesce(text, '') AS t, {_lines('text')} AS ls, len(list_filter(string_split_regex(coalesce(text, ''), '{_BREAK}'), lambda x: {_is_row('x')})) AS rows FROM documents
+), m AS (
+    SELECT *, length(t) - length(regexp_replace(t, '\\p{{Nd}}', '', 'g')) AS dg,
+        {" + ".join(f"contains(lower(t), '{k}')::INT" for k in ("$", "%", "margin", "risk", "position", "entry", "exit", "stop", "rule"))} AS hits,
+        len(list_filter(ls[1:80], lambda x: ends_with(x, ':') OR starts_with(x, '#') OR starts_with(x, '-') OR starts_with(x, 'â€¢') OR (upper(x) = x AND lower(x) <> x))) AS heads FROM t
+)
+SELECT doc_id, length({_strip('t')}) AS chars, rows AS table_rows,
+    round_even(least(1.0, least(1.0, dg::DOUBLE / greatest(1, length(t)) * 15.0) * 0.6::DOUBLE + least(1.0, hits / 6.0::DOUBLE) * 0.4::DOUBLE), 3) AS numeric,
+    CASE WHEN len(ls) = 0 THEN 0.0 ELSE round_even(least(1.0, least(1.0, len(ls) / 80.0::DOUBLE) * 0.35::DOUBLE + least(1.0, heads / 12.0::DOUBLE) * 0.35::DOUBLE + least(1.0, rows / 8.0::DOUBLE) * 0.30::DOUBLE), 3) END AS structure
+FROM m
+"""
+
+_MARKS = r"[:=\-|{}\[\]()]+"
+CONSENSUS_KEYS = rf"""
+WITH v AS (
+    SELECT DISTINCT field, value, regexp_replace(regexp_replace({_squeeze('value')}, '^(?:{_MARKS}|[1ilI|])\s+', ''), '\s+(?:[1ilI|]|{_MARKS})(?:\s+(?:[1ilI|]|{_MARKS}))*$', '') AS s FROM field_candidates WHERE value IS NOT NULL
+), c AS (
+    SELECT field, value, trim(regexp_replace(regexp_replace(s, '(\d)[,\s]+(\d{{3}})(\D|$)', '\1,\2\3', 'g'), '(\d)[,\s]+(\d{{3}})(\D|$)', '\1,\2\3', 'g'), ' :|={{}}[]()') AS clean FROM v
+), k AS (
+    SELECT *, replace(clean, ';', ',') AS raw, trim(regexp_replace(lower(replace(clean, ';', ',')), '[^a-z0-9]+', ' ', 'g')) AS txt, regexp_extract(replace(clean, ';', ','), '\b\d{{4}}[-/]\d{{1,2}}[-/]\d{{1,2}}\b', 0) AS dt,
+        regexp_extract(replace(clean, ';', ','), '\(?-?\$?\d(?:[\d,\s]*\d)?(?:\.\d+)?%?\)?', 0) AS num, regexp_extract_all(replace(clean, ';', ','), '\$\d{{1,3}}(?:[,\s]\d{{3}})*(?:\.\d+)?') AS money FROM c
+)
+SELECT field, value, clean,
+    CASE WHEN lower(trim(coalesce(field, ''))) IN ('invoice_number', 'account') THEN txt WHEN dt <> '' THEN replace(dt, '/', '-') WHEN num <> '' THEN regexp_replace(num, '[$,%() ]', '', 'g') ELSE txt END AS value_key,
+    CASE WHEN dt <> '' AND field = 'due_date' THEN replace(dt, '/', '-') WHEN len(money) > 0 THEN CASE WHEN field IN ('market_value', 'total', 'tax_due', 'amount_due', 'payment_due') THEN money[-1] ELSE money[1] END ELSE raw END AS shown
+FROM k
+"""
+
+
 UNREAD_DOCUMENTS = "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT try_cast(doc_id AS BIGINT) FROM candidates WHERE try_cast(doc_id AS BIGINT) IS NOT NULL)"
 ARTIFACT_TEXTS = "WITH p AS (SELECT DISTINCT * FROM scan_pages) SELECT r.doc_id, r.page_no, length(coalesce(a.extracted_text, '')) AS n_chars FROM p r LEFT JOIN p a ON r.artifact_path = a.artifact_path"
 
 
 def oracle_sql() -> dict[str, str]:
     here = globals()
-    names = ("order_accuracy", "value_keys", "number_texts", "text_counts", "recovered_tables", "text_blocks", "ranked_candidates", "line_votes", "best_attempts", "routed_attempts", "latency_parts", "engine_chains", "token_recall", "expanded_manifest", "step_summary", "release_grade", "duplicate_ids", "leak_scan", "lane_slo", "lane_readiness", "lane_trailing", "streaming_slo", "source_drift", "unread_documents", "artifact_texts")
+    names = ("order_accuracy", "value_keys", "number_texts", "date_texts", "consensus_keys", "text_quality", "engine_comparison", "text_counts", "recovered_tables", "text_blocks", "ranked_candidates", "line_votes", "best_attempts", "routed_attempts", "latency_parts", "engine_chains", "token_recall", "expanded_manifest", "step_summary", "release_grade", "duplicate_ids", "leak_scan", "lane_slo", "lane_readiness", "lane_trailing", "streaming_slo", "source_drift", "unread_documents", "artifact_texts")
     return {n: here[n.upper()] for n in names}
