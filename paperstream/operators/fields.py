@@ -67,14 +67,17 @@ def offered(df: DataFrame, ids: list[str], text: str = "text", specs: str = "spe
 def ranked(rows: DataFrame, keys: list[str], top: int = TOP, *, field: str = "field", value: str = "value", norm: str = "normalized_value", confidence: str = "confidence", line: str = "line_index", seq: str = "gen_seq") -> DataFrame:
     """The rows that stay, with `rank` from 1: of equal normalised values the surest (first offered on ties), then the `top` surest by line and value.
 
-    Both windows share one partitioning, so one shuffle serves both; a null normalised value is a value of its own;
-    null and NaN confidences rank last.
+    A null normalised value is a value of its own; null and NaN confidences rank last. Equal values are reduced by an
+    aggregate and the rest by a limited window, both of which start before their shuffle: of a group of any size only
+    distinct values, and then `top` rows a task, are sent on. Rows must not hold maps.
     """
-    sure = F.when(F.isnan(confidence), None).otherwise(F.col(confidence))
-    one = Window.partitionBy(*keys, field, norm).orderBy(sure.desc_nulls_last(), F.col(seq).asc_nulls_last())
-    best = Window.partitionBy(*keys, field).orderBy(sure.desc_nulls_last(), F.col(line).asc_nulls_last(), F.col(value).asc_nulls_last(), F.col(seq).asc_nulls_last())
-    once = rows.repartition(*keys, field).withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
-    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    sure = F.coalesce(F.when(F.isnan(confidence), None).otherwise(-F.col(confidence).cast("double")), F.lit(float("inf")))
+    by = [*keys, field, norm]
+    rest = [c for c in rows.columns if c not in by]
+    first = F.struct(sure.alias("_sure"), F.coalesce(F.col(seq).cast("long"), F.lit(2**62)).alias("_seq"), *rest)
+    once = rows.groupBy(*by).agg(F.min(first).alias("_x")).select(*by, F.col("_x._sure").alias("_sure"), *[F.col(f"_x.{c}").alias(c) for c in rest])
+    best = Window.partitionBy(*keys, field).orderBy("_sure", F.col(line).asc_nulls_last(), F.col(value).asc_nulls_last(), F.col(seq).asc_nulls_last())
+    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select(*rows.columns, "rank")
 
 
 def field_candidates(df: DataFrame, ids: list[str], text: str = "text", specs: str = "specs", top: int = TOP) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -54,13 +54,19 @@ def fingerprint_drift(stream: DataFrame, key: str = "source_key", text: str = "t
 
 
 def batch_drift(rows: DataFrame, key: str, text: str, at: str) -> DataFrame:
-    """The same of a finished table: each version against the one before it by time."""
-    from pyspark.sql import Window
-
-    prints = rows.select(F.col(key).alias("source_key"), F.col(at).alias("updated_at"), *fingerprint(F.col(text)))
-    w = Window.partitionBy("source_key").orderBy("updated_at", "content_hash")
-    before = F.lag(F.struct("numeric_count", "token_hash", "content_hash")).over(w)
-    p = prints.withColumn("_b", before)
+    """The same of a finished table: each version against the one before it by time, then content hash.
+
+    A key's versions are cut by day: the version before a day's first is the last of the key's previous day, from a
+    table of one row per key and day. So no task holds a key's whole history.
+    """
+    prints = rows.select(F.col(key).alias("source_key"), F.col(at).alias("updated_at"), *fingerprint(F.col(text))).withColumn("_day", F.to_date("updated_at"))
+    now = F.struct("updated_at", "content_hash", "numeric_count", "token_hash")
+    last = prints.groupBy("source_key", "_day").agg(F.max(now).alias("_end"))
+    last = last.withColumn("_end", F.lag("_end").over(Window.partitionBy("source_key").orderBy("_day")))
+    same = F.col("p.source_key").eqNullSafe(F.col("l.source_key")) & F.col("p._day").eqNullSafe(F.col("l._day"))
+    joined = prints.alias("p").join(last.alias("l"), same, "left").select("p.*", "l._end")
+    w = Window.partitionBy("source_key", "_day").orderBy("updated_at", "content_hash")
+    p = joined.withColumn("_b", F.coalesce(F.lag(now).over(w), F.col("_end")))
     change = F.abs(F.col("numeric_count") - F.col("_b.numeric_count")) / F.greatest(F.lit(1), F.col("_b.numeric_count"))
     new = F.col("_b").isNull()
     band = F.when(new, "none").when(change >= 0.35, "high").when(change >= 0.15, "medium").otherwise("low")
