@@ -86,7 +86,8 @@ def _located(parsed: DataFrame, localities: DataFrame) -> DataFrame:
     words = others.select("rec_key", "rest", F.explode("rest").alias("word")).where(F.length("word") >= 4)
     words = words.select("rec_key", "rest", "word", F.explode(_near_forms("word")).alias("form"))
     towns = localities.select("code", "town", "region", F.explode(_near_forms("town")).alias("form"))
-    hits = words.join(towns, "form").select("rec_key", "code", (F.col("word") != F.col("town")).cast("int").alias("inexact"), (~F.coalesce(F.array_contains("rest", F.col("region")), F.lit(False))).cast("int").alias("elsewhere")).distinct()
+    # sides that a generator multiplied are never broadcast: their size estimate is that before it
+    hits = words.join(towns.hint("merge"), "form").select("rec_key", "code", (F.col("word") != F.col("town")).cast("int").alias("inexact"), (~F.coalesce(F.array_contains("rest", F.col("region")), F.lit(False))).cast("int").alias("elsewhere")).distinct()
     # regions first, then exact spellings
     best = hits.groupBy("rec_key").agg(F.min(F.struct("elsewhere", "inexact")).alias("best"))
     chosen = hits.join(best, "rec_key").where((F.col("elsewhere") == F.col("best.elsewhere")) & (F.col("inexact") == F.col("best.inexact"))).select("rec_key", "code").distinct()
@@ -103,7 +104,7 @@ def _streets(located: DataFrame) -> DataFrame:
     forms = stored(located.groupBy(*group, "street").agg(F.count_distinct("number").alias("numbers"), F.count(F.lit(1)).alias("records")), "spellings")
     keys = forms.where("street <> ''").select(*group, "street", "numbers", "records", F.explode(_near_forms("street")).alias("form"))
     a, b = keys.alias("a"), keys.select(*group, "form", F.col("street").alias("other"), F.col("numbers").alias("other_numbers"), F.col("records").alias("other_records"))
-    near = a.join(b, [*group, "form"]).where((F.col("other_numbers") > F.col("numbers")) | ((F.col("other_numbers") == F.col("numbers")) & (F.struct("other_records", "other") > F.struct("records", "street"))))
+    near = a.join(b.hint("merge"), [*group, "form"]).where((F.col("other_numbers") > F.col("numbers")) | ((F.col("other_numbers") == F.col("numbers")) & (F.struct("other_records", "other") > F.struct("records", "street"))))
     two = (F.col("numbers") >= OWN_NUMBERS) & (F.col("numbers") >= OWN_PART * F.col("other_numbers"))
     return near.where(~two).groupBy(*group, "street").agg(F.max(F.struct("other_numbers", "other_records", "other")).alias("top")).select(*group, "street", F.col("top.other").alias("canon"))
 
