@@ -66,14 +66,18 @@ def _thousands(c: Column) -> Column:
 
 def number_text(c: Column | str) -> Column:
     """Canonical decimal text of the first amount; empty if there is none. Parentheses negate; percent signs are dropped."""
-    token = F.regexp_extract(F.trim(_col(c)), f"(?iU){P.MONEY}", 0)
-    negative = token.startswith("(") & token.endswith(")")
-    bare = reduce(lambda x, mark: F.replace(x, F.lit(mark), F.lit("")), ("$", "USD", "RM", "MYR", ",", " ", "(", ")", "%"), _thousands(token))
-    value = F.when(bare.rlike(r"(?U)^\s*-?\d+(\.\d+)?\s*$"), F.regexp_replace(bare, r"(?U)\s+", "")).otherwise(None).cast("double")
-    value = F.when(negative, -value).otherwise(value)
-    whole = F.abs(value - F.rint(value)) < 0.000001
-    text = F.when(whole, F.rint(value).cast("decimal(38,0)").cast("string")).otherwise(F.regexp_replace(F.format_string("%.4f", value), r"\.?0+$", ""))
-    return F.coalesce(F.when(value.isNull(), "").otherwise(text), F.lit(""))
+
+    def read(token: Column) -> Column:
+        bare = F.regexp_replace(_thousands(token), r"\$|USD|RM|MYR|[, ()%]", "")
+        value = F.when(bare.rlike(r"(?U)^\s*-?\d+(\.\d+)?\s*$"), F.regexp_replace(bare, r"(?U)\s+", "")).otherwise(None).cast("double")
+        return F.when(token.startswith("(") & token.endswith(")"), -value).otherwise(value)
+
+    def write(value: Column) -> Column:
+        whole = F.abs(value - F.rint(value)) < 0.000001
+        return F.when(whole, F.rint(value).cast("decimal(38,0)").cast("string")).otherwise(F.regexp_replace(F.format_string("%.4f", value), r"\.?0+$", ""))
+
+    value = let(F.regexp_extract(F.trim(_col(c)), f"(?iU){P.MONEY}", 0), read)
+    return F.coalesce(let(value, lambda v: F.when(v.isNotNull(), write(v))), F.lit(""))
 
 
 def number_value(c: Column | str) -> Column:
