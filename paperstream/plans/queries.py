@@ -12,7 +12,7 @@ from paperstream.functions import text as T
 from paperstream.operators import consensus, fields, grade, ranker, routing, slo, truth
 from paperstream.plans import render
 from paperstream.sources import files
-from paperstream.sources.tables import table
+from paperstream.sources.tables import table, texts
 from paperstream.streaming import lanes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,7 +49,7 @@ def consensus_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_quality(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents")
+    x = texts(spark, d, "documents")
     q = Q.quality("text", F.lit(None).cast("double"))
     return x.select("doc_id", q.alias("q")).select("doc_id", "q.chars", "q.table_rows", F.col("q.numeric_fidelity_score").alias("numeric"), F.col("q.structure_score").alias("structure"))
 
@@ -59,22 +59,22 @@ def text_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tool_quality(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "candidates").dropDuplicates(["doc_id", "cand_seq"]).withColumn("t", T.attempt_text())
+    x = texts(spark, d, "candidates").dropDuplicates(["doc_id", "cand_seq"]).withColumn("t", T.attempt_text())
     return x.select("doc_id", "cand_seq", Q.quality("t", F.col("confidence"), "tool").alias("q"), Q.finance_checks("t").alias("checks")).select("doc_id", "cand_seq", "q.*", F.col("checks.issues").alias("issues"), F.col("checks.hints").alias("hints"))
 
 
 def recovered_tables(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").select("doc_id", F.posexplode(Q.table_cells("text")).alias("row_no", "r"))
+    x = texts(spark, d, "documents").select("doc_id", F.posexplode(Q.table_cells("text")).alias("row_no", "r"))
     return x.select("doc_id", "row_no", "r.raw", F.size("r.cells").alias("n_cells"), F.array_join("r.cells", "¦").alias("cells"))
 
 
 def text_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.explode(Q.blocks("text")).alias("b")).select("doc_id", "b.id", "b.text")
+    return texts(spark, d, "documents").select("doc_id", F.explode(Q.blocks("text")).alias("b")).select("doc_id", "b.id", "b.text")
 
 
 def merged_tables(spark: SparkSession, d: str) -> DataFrame:
     """Tables of the first two attempts of every document put together cell by cell."""
-    a = table(spark, d, "candidates").dropDuplicates(["doc_id", "cand_seq"]).select("doc_id", "cand_seq", Q.markdown_rows("markdown").alias("rows"))
+    a = texts(spark, d, "candidates").dropDuplicates(["doc_id", "cand_seq"]).select("doc_id", "cand_seq", Q.markdown_rows("markdown").alias("rows"))
     x, y = a.where("cand_seq = 0").select("doc_id", F.col("rows").alias("p")), a.where("cand_seq = 1").select("doc_id", F.col("rows").alias("q"))
     both = x.join(y, "doc_id").where((F.size("p") > 0) | (F.size("q") > 0))
     return both.select("doc_id", F.posexplode(Q.merged_rows(F.col("p"), F.col("q"))).alias("row_no", "cells"))
@@ -87,21 +87,21 @@ def ranked_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def document_fields(spark: SparkSession, d: str) -> DataFrame:
     """Field candidates of the common fields generated from the documents' own texts."""
-    x = table(spark, d, "documents").select("doc_id", "text").withColumn("specs", fields.common_specs())
+    x = texts(spark, d, "documents").select("doc_id", "text").withColumn("specs", fields.common_specs())
     return fields.field_candidates(x, ["doc_id"]).drop("aliases")
 
 
 def learned_ranking(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").select("doc_id", "text").withColumn("specs", fields.common_specs())
+    x = texts(spark, d, "documents").select("doc_id", "text").withColumn("specs", fields.common_specs())
     return ranker.reranked(fields.field_candidates(x, ["doc_id"]), ["doc_id"]).select("doc_id", "field", "rank", "value", "learned_score")
 
 
 def field_consensus(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.field_consensus(table(spark, d, "candidates"))
+    return consensus.field_consensus(texts(spark, d, "candidates"))
 
 
 def receipt_fields(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.receipt_fields(table(spark, d, "candidates"))
+    return consensus.receipt_fields(texts(spark, d, "candidates"))
 
 
 def receipt_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -113,11 +113,11 @@ def receipt_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def line_votes(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.line_vote(table(spark, d, "candidates")).select("doc_id", "n_attempts", "text")
+    return consensus.line_vote(texts(spark, d, "candidates")).select("doc_id", "n_attempts", "text")
 
 
 def rescored_attempts(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.rescored(table(spark, d, "candidates")).select("doc_id", "cand_seq", "components", "total")
+    return consensus.rescored(texts(spark, d, "candidates")).select("doc_id", "cand_seq", "components", "total")
 
 
 def best_attempts(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +142,7 @@ def engine_chains(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cases(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("case_id is not null").select("doc_id", F.col("case_id").alias("id"), "text")
+    docs = texts(spark, d, "documents").where("case_id is not null").select("doc_id", F.col("case_id").alias("id"), "text")
     return docs.join(table(spark, d, "manifest_cases"), "id")
 
 
@@ -219,7 +219,7 @@ LEAKS = [("home_path", r"/(home|Users)/[a-z]+"), ("secret", r"(?i)(api[_-]?key|p
 
 
 def leak_scan(spark: SparkSession, d: str) -> DataFrame:
-    return grade.leaks(table(spark, d, "documents").withColumn("path", F.col("doc_id")), LEAKS).withColumnRenamed("path", "doc_id")
+    return grade.leaks(texts(spark, d, "documents").withColumn("path", F.col("doc_id")), LEAKS).withColumnRenamed("path", "doc_id")
 
 
 def lane_slo(spark: SparkSession, d: str) -> DataFrame:
