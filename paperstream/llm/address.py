@@ -60,6 +60,11 @@ def _bone(word: str) -> Column:
     return F.regexp_replace(F.translate(w, *_CONFUSED), r"(.)\1+", "$1")
 
 
+def _strokes(word: str) -> Column:
+    """Equal for words that differ only in strokes and rounds: i, l and 1, o and 0, s and 5."""
+    return F.translate(F.col(word), "i1|!05", "llllos")
+
+
 def _near_forms(word: str) -> Column:
     """The word, its forms with one letter left out, and its bone: words one edit or usual OCR confusions apart share one."""
     w = F.col(word)
@@ -105,7 +110,7 @@ def _streets(located: DataFrame) -> DataFrame:
     keys = forms.where("street <> ''").select(*group, "street", "numbers", "records", F.explode(_near_forms("street")).alias("form"))
     a, b = keys.alias("a"), keys.select(*group, "form", F.col("street").alias("other"), F.col("numbers").alias("other_numbers"), F.col("records").alias("other_records"))
     near = a.join(b.hint("merge"), [*group, "form"]).where((F.col("other_numbers") > F.col("numbers")) | ((F.col("other_numbers") == F.col("numbers")) & (F.struct("other_records", "other") > F.struct("records", "street"))))
-    two = (F.col("numbers") >= OWN_NUMBERS) & (F.col("numbers") >= OWN_PART * F.col("other_numbers"))
+    two = (F.col("numbers") >= OWN_NUMBERS) & (F.col("numbers") >= OWN_PART * F.col("other_numbers")) & (_strokes("street") != _strokes("other"))
     return near.where(~two).groupBy(*group, "street").agg(F.max(F.struct("other_numbers", "other_records", "other")).alias("top")).select(*group, "street", F.col("top.other").alias("canon"))
 
 
