@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+import paperstream
 from pyspark.sql import SparkSession
 
 #: What the engine asks of any session it creates itself; a cluster's own settings win.
@@ -23,4 +26,14 @@ def local_session(cpus: int = 8, *, app: str = "paperstream", **conf: str) -> Sp
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return on_workers(spark)
+
+
+def on_workers(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver has it, whatever their working folder."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(paperstream.__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
     return spark
