@@ -262,3 +262,31 @@ def safe_name(c: Column | str) -> Column:
 def attempt_text(markdown: Column | str = "markdown", text: Column | str = "text") -> Column:
     """An attempt's text: its markdown, else its plain text, else empty."""
     return F.coalesce(F.nullif(_col(markdown), F.lit("")), _col(text))
+
+
+#: Talk of a model about itself rather than of the page.
+CHATTER = ("please note", "to perform ocr", "i can only provide guidance", "without the actual document image", "since you haven't attached")
+
+
+def markdown_layout(c: Column | str, limit: int = 4000) -> Column:
+    """A model's markdown set right: line ends, chatter cut off (fenced blocks kept instead, if there are any), rows and blocks on lines of their own, one blank line at most, `limit` characters with dots at the end: the feature's own limit."""
+    raw = F.replace(F.replace(_col(c), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    low = F.lower(raw)
+    fenced = F.filter(F.transform(F.regexp_extract_all(raw, F.lit(r"(?is)```(?:markdown)?\s*(.*?)```"), F.lit(1)), lambda b: F.btrim(b, F.lit(" \n\t"))), lambda b: b != "")
+    talks = reduce(Column.__or__, [F.contains(low, F.lit(m)) for m in CHATTER])
+    at = reduce(lambda acc, m: acc.when(F.instr(low, m) > 1, F.instr(low, m)), CHATTER[1:], F.when(F.instr(low, CHATTER[0]) > 1, F.instr(low, CHATTER[0])))
+    kept = F.when(talks & (F.size(fenced) > 0), F.array_join(fenced, "\n\n")).when(at.isNotNull(), F.rtrim(F.substring(raw, F.lit(1), at - 1))).otherwise(raw)
+    flat = repaired_blocks(repaired_tables(F.regexp_replace(kept, r"[ \t]+(?=\n|$)", "")))
+    out = F.btrim(F.regexp_replace(flat, r"\n{3,}", "\n\n"), F.lit(" \n\t"))
+    return let(out, lambda x: F.when(F.length(x) > limit, F.concat(F.rtrim(F.substring(x, 1, limit - 3)), F.lit("..."))).otherwise(x))
+
+
+def anchor_terms(stem: Column | str, stop: tuple[str, ...] = ()) -> Column:
+    """Words of three letters or more of a file's name."""
+    words = F.filter(F.split(F.lower(_col(stem)), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
+    return F.array_except(words, F.array(*map(F.lit, stop)).cast("array<string>")) if stop else words
+
+
+def anchor_hits(text: Column | str, terms: Column) -> Column:
+    low = F.lower(_col(text))
+    return F.size(F.filter(terms, lambda t: F.contains(low, t)))

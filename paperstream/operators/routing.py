@@ -131,3 +131,88 @@ def latency_parts(attempts: DataFrame, by: str = "doc_id") -> DataFrame:
     rows = attempts.dropDuplicates([by, "cand_seq"]).withColumns({"_ms": whole, "_first": first})
     part = lambda test: F.coalesce(F.sum(F.when(test, F.col("_ms"))), F.lit(0)) / 100.0
     return rows.groupBy(by).agg(part(F.col("_first")).alias("primary_ms"), part(~F.col("_first")).alias("fallback_ms"), part(F.lit(True)).alias("total_ms"))
+
+
+# --- what a goal asks for, and what a text is
+
+# Words and phrases of goals.
+GOALS = {
+    "layout": ("table", "form", "layout", "handwriting", "checkbox", "signature", "multi column", "invoice", "receipt", "diagram", "stamp", "statement", "brokerage statement", "earnings report"),
+    "dense_scan": ("handwriting", "tiny text", "dense scan", "fax", "stamp", "blurry", "low quality scan", "annotated", "math", "equation"),
+    "cleanup": ("trading strategy", "stock trading", "day trading", "preserve headings", "preserve bullets", "markdown", "chart", "multi column", "rewrite this ocr", "cleanup the ocr", "reformat the ocr"),
+    "keep_layout": ("table", "layout", "multi column", "markdown", "preserve headings", "preserve bullets", "rewrite this ocr", "cleanup the ocr", "reformat the ocr", "semantic rewrite", "semantic cleanup"),
+}
+LAYOUT_HEAVY = tuple(c for c in ALL_CLASSES if c != "photo")
+VISION_NAMES = ("vl", "vision", "llava", "minicpm-v", "got-ocr", "ocr")
+# Words that show what a text is, by class, in the order that decides equal counts.
+CONTENT = (
+    ("banking", ("opening balance", "closing balance", "deposits", "withdrawals", "account number")), ("brokerage", ("shares", "market value", "symbol", "portfolio", "unrealized", "cost basis")),
+    ("invoice", ("invoice number", "amount due", "purchase order", "line item", "subtotal")), ("payroll", ("gross pay", "net pay", "deductions", "pay period", "federal tax", "fica")),
+    ("tax", ("taxable income", "adjusted gross", "filing status", "tax due", "refund amount")), ("statement", ("previous balance", "new charges", "minimum payment", "payment due date", "statement date")),
+    ("loan", ("principal balance", "interest rate", "monthly payment", "remaining term", "origination")), ("table_dense", ("| ---", "|---|", "---+---", ":---:", "-----")),
+)
+FINANCE_SIGNS = ("$", "balance", "total", "invoice", "account", "payment")
+
+
+def asks(goal: Column, what: str) -> Column:
+    """Whether a goal has a word or phrase of GOALS[what], as whole words."""
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(goal, F.lit(""))), "[^a-z0-9]+", " ")), F.lit(" "))
+    return _any(words, tuple(f" {t} " for t in GOALS[what]))
+
+
+def layout_heavy(doc_class: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(doc_class)).isin(*LAYOUT_HEAVY), F.lit(False))
+
+
+def is_vision_model(name: Column) -> Column:
+    return _any(F.lower(F.trim(F.coalesce(name, F.lit("")))), VISION_NAMES)
+
+
+def first_engine(goal: Column, suffix: Column) -> Column:
+    """struct(engine, reason) of the light lane that a request starts with."""
+    wants = asks(goal, "layout")
+    image = F.coalesce(F.lower(suffix).isin(".png", ".jpg", ".jpeg", ".bmp", ".tif", ".tiff"), F.lit(False))
+    return F.struct(F.when(wants, "rapidocr").otherwise("tesseract").alias("engine"), F.when(wants, "goal_requires_layout_or_handwriting").when(image, "image_text_default").otherwise("default").alias("reason"))
+
+
+def heavy_plan(goal: Column, suffix: Column) -> Column:
+    """struct(primary, cleanup, reason) of the heavy lanes."""
+    dense, document = asks(goal, "dense_scan"), (F.coalesce(F.lower(suffix) == ".pdf", F.lit(False))) | asks(goal, "layout")
+    primary = F.when(dense, "gb10_got_ocr2").when(document, "gb10_paddleocr_vl").otherwise("gb10_qwen_ocr")
+    reason = F.when(dense, "dense_scan_or_handwriting").when(document, "document_layout_primary").otherwise("vision_ocr_primary")
+    return F.struct(primary.alias("primary"), F.when(dense | document, "gb10_qwen_ocr").otherwise("").alias("cleanup"), reason.alias("reason"))
+
+
+def cleanup_gate(goal: Column, balanced: Column, ready: Column, score: Column, structure: Column, numeric: Column, chars: Column, doc_class: Column) -> Column:
+    """struct(run, reason): whether rewriting a text can still gain anything."""
+    visual = F.coalesce(doc_class.isin("photo", "scanned_pdf", "handwritten"), F.lit(False))
+    explicit = _any(F.lower(F.coalesce(goal, F.lit(""))), ("markdown", "preserve headings", "preserve bullets", "multi-column"))
+    reason = (
+        F.when(~ready, "lane_disabled").when(balanced, "balanced_route").when(~asks(goal, "cleanup"), "goal_not_cleanup_specific")
+        .when((score >= 0.45) & (structure >= 0.18) & (chars >= 120), "already_good_enough").when((score >= 0.34) & (structure >= 0.08) & (numeric >= 0.50) & (chars >= 100), "no_measurable_gain_expected")
+        .when(visual & ~explicit, "visual_doc_without_explicit_cleanup_request").otherwise("cleanup_candidate")
+    )
+    return F.struct((reason == "cleanup_candidate").alias("run"), reason.alias("reason"))
+
+
+def content_class(text: Column) -> Column:
+    """What a text is, by the class with most of its words present, the earlier class on equal counts; short texts and texts without any sign are photos."""
+    raw = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    count = lambda terms: reduce(Column.__add__, [F.contains(raw, F.lit(t)).cast("int") for t in terms])
+    best = F.array_max(F.array(*[F.struct(count(terms).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, terms) in enumerate(CONTENT)]))
+    pipes = F.size(F.filter(F.split(raw, "\n"), lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) >= 3))
+    return F.when(F.length(raw) < 20, "photo").when(pipes >= 4, "table_dense").when(best["n"] > 0, best["name"]).when(count(FINANCE_SIGNS) >= 3, "table_dense").otherwise("photo")
+
+
+def results(attempts: DataFrame, routed_: DataFrame) -> DataFrame:
+    """One canonical result per document: the attempt its route ended with, its text, blocks, tables, quality and class, and the log of all its attempts."""
+    from paperstream.functions import quality as Q
+    from paperstream.functions import text as T
+
+    log = F.array_sort(F.collect_list(F.struct("cand_seq", "engine", "preprocess", "ok", "confidence", "latency_ms")))
+    logs = attempts.groupBy("doc_id").agg(log.alias("attempts"))
+    won = attempts.join(routed_.select("doc_id", "cand_seq", "n_ran"), ["doc_id", "cand_seq"], "left_semi").withColumn("markdown", F.trim(T.attempt_text()))
+    return won.join(logs, "doc_id").select(
+        "doc_id", (F.coalesce("ok", F.lit(False)) & (F.col("markdown") != "")).alias("ok"), "engine", "preprocess", "confidence", confidence_tier(F.col("confidence")).alias("tier"), "markdown",
+        Q.blocks("markdown").alias("blocks"), Q.table_cells("markdown").alias("table_rows"), Q.quality("markdown", F.col("confidence")).alias("quality"), content_class(F.col("markdown")).alias("content_class"), "attempts",
+    )

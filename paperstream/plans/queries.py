@@ -133,6 +133,20 @@ def routed_attempts(spark: SparkSession, d: str) -> DataFrame:
     return routing.routed(a).select("doc_id", "cand_seq", "engine", "n_ran")
 
 
+def canonical_results(spark: SparkSession, d: str) -> DataFrame:
+    a = consensus.once(texts(spark, d, "candidates"))
+    return routing.results(a, routed_attempts(spark, d)).select("doc_id", "ok", "engine", "tier", "content_class", "quality.chars", F.size("blocks").alias("n_blocks"), F.size("table_rows").alias("n_rows"), F.size("attempts").alias("n_attempts"))
+
+
+def content_classes(spark: SparkSession, d: str) -> DataFrame:
+    x = texts(spark, d, "documents").select(routing.content_class(F.col("text")).alias("content_class"))
+    return x.groupBy("content_class").agg(F.count(F.lit(1)).alias("n"))
+
+
+def markdown_layouts(spark: SparkSession, d: str) -> DataFrame:
+    return texts(spark, d, "candidates").select("doc_id", "cand_seq", T.markdown_layout("markdown").alias("layout")).distinct()
+
+
 def latency_parts(spark: SparkSession, d: str) -> DataFrame:
     return routing.latency_parts(table(spark, d, "candidates"))
 
@@ -270,7 +284,7 @@ def artifact_texts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: tuple[Query, ...] = (
     order_accuracy, value_keys, number_texts, date_texts, consensus_keys, text_quality, text_counts, tool_quality, recovered_tables, text_blocks, merged_tables, ranked_candidates, document_fields, learned_ranking,
-    field_consensus, receipt_fields, receipt_scores, line_votes, rescored_attempts, best_attempts, routed_attempts, latency_parts, engine_chains, case_scores, field_accuracy, failure_records, token_recall, case_table_rows,
+    field_consensus, receipt_fields, receipt_scores, line_votes, rescored_attempts, best_attempts, routed_attempts, canonical_results, content_classes, markdown_layouts, latency_parts, engine_chains, case_scores, field_accuracy, failure_records, token_recall, case_table_rows,
     expanded_manifest, step_summary, release_grade, engine_comparison, audit_reasons, weakest_cases, escalations, duplicate_ids, leak_scan, lane_slo, lane_readiness, lane_trailing, streaming_slo, source_drift, unread_documents, artifact_texts,
 )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperstream.operators.routing import ENGINES, PLANS
+from paperstream.operators.routing import CONTENT, ENGINES, FINANCE_SIGNS, PLANS
 from paperstream.plans.queries import LEAKS
 
 _WS = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -333,11 +333,25 @@ FROM k
 """
 
 
+_RAW = "lower(trim(coalesce(text, '')))"
+_COUNTS = ", ".join("(" + " + ".join(f"contains(raw, '{t}')::INT" for t in terms) + f") AS {name}" for name, terms in CONTENT)
+_BEST = "greatest(" + ", ".join(n for n, _ in CONTENT) + ")"
+CONTENT_CLASSES = f"""
+WITH r AS (
+    SELECT {_RAW} AS raw FROM documents
+), c AS (
+    SELECT raw, {_COUNTS}, len(list_filter(string_split(raw, chr(10)), lambda x: length(x) - length(replace(x, '|', '')) >= 3)) AS pipes, {" + ".join(f"contains(raw, '{t}')::INT" for t in FINANCE_SIGNS)} AS signs FROM r
+), k AS (
+    SELECT CASE WHEN length(raw) < 20 THEN 'photo' WHEN pipes >= 4 THEN 'table_dense' WHEN {_BEST} > 0 THEN CASE {" ".join(f"WHEN {n} = {_BEST} THEN '{n}'" for n, _ in CONTENT)} END WHEN signs >= 3 THEN 'table_dense' ELSE 'photo' END AS content_class FROM c
+)
+SELECT content_class, count(*) AS n FROM k GROUP BY 1
+"""
+
 UNREAD_DOCUMENTS = "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT try_cast(doc_id AS BIGINT) FROM candidates WHERE try_cast(doc_id AS BIGINT) IS NOT NULL)"
 ARTIFACT_TEXTS = "WITH p AS (SELECT DISTINCT * FROM scan_pages) SELECT r.doc_id, r.page_no, length(coalesce(a.extracted_text, '')) AS n_chars FROM p r LEFT JOIN p a ON r.artifact_path = a.artifact_path"
 
 
 def oracle_sql() -> dict[str, str]:
     here = globals()
-    names = ("order_accuracy", "value_keys", "number_texts", "date_texts", "consensus_keys", "text_quality", "engine_comparison", "text_counts", "recovered_tables", "text_blocks", "ranked_candidates", "line_votes", "best_attempts", "routed_attempts", "latency_parts", "engine_chains", "token_recall", "expanded_manifest", "step_summary", "release_grade", "duplicate_ids", "leak_scan", "lane_slo", "lane_readiness", "lane_trailing", "streaming_slo", "source_drift", "unread_documents", "artifact_texts")
+    names = ("order_accuracy", "value_keys", "number_texts", "date_texts", "consensus_keys", "text_quality", "engine_comparison", "content_classes", "text_counts", "recovered_tables", "text_blocks", "ranked_candidates", "line_votes", "best_attempts", "routed_attempts", "latency_parts", "engine_chains", "token_recall", "expanded_manifest", "step_summary", "release_grade", "duplicate_ids", "leak_scan", "lane_slo", "lane_readiness", "lane_trailing", "streaming_slo", "source_drift", "unread_documents", "artifact_texts")
     return {n: here[n.upper()] for n in names}

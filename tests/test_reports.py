@@ -138,3 +138,22 @@ def test_engines(spark):
     assert tuple(engines.joined_pages(pages).first()) == ("a", "one\ntwo", 0.75, 3.0, True)
     fetched = {r.id: r.ok for r in files.fetched(spark.createDataFrame([("a", "u"), ("b", "bad")], "id string, url string"), lambda u: u.encode() if u == "u" else 1 / 0).collect()}
     assert fetched == {"a": True, "b": False}
+
+
+def test_goals_and_contents(spark):
+    row = spark.createDataFrame([("Read the multi-column table", "formal", "Gross pay: 1\nNet pay: 2 deductions opening balance")], "g string, h string, t string").select(
+        routing.asks(F.col("g"), "layout").alias("a"), routing.asks(F.col("h"), "layout").alias("b"), routing.first_engine(F.col("g"), F.lit(".pdf")).alias("e"), routing.heavy_plan(F.lit("blurry fax"), F.lit(".png")).alias("p"),
+        routing.content_class(F.col("t")).alias("c"), routing.content_class(F.lit("x")).alias("d"), routing.is_vision_model(F.lit("Qwen-VL")).alias("v"), routing.layout_heavy(F.lit("Photo")).alias("l"),
+        routing.cleanup_gate(F.lit("rewrite this OCR"), F.lit(False), F.lit(True), F.lit(0.1), F.lit(0.1), F.lit(0.1), F.lit(10), F.lit("digital_pdf")).alias("g"),
+    ).first()
+    assert row.a and not row.b and row.e.engine == "rapidocr" and (row.p.primary, row.p.cleanup) == ("gb10_got_ocr2", "gb10_qwen_ocr") and (row.c, row.d) == ("payroll", "photo") and row.v and not row.l and row.g.run
+
+
+def test_model_markdown(spark):
+    from paperstream.functions import text as T
+
+    values = ["# A\r\nrow  \n\n\n\nend", "Text here.\nPlease note that I am a model", "Please note: ```markdown\n| a |\n```", "x" * 90, None]
+    got = [r.m for r in spark.createDataFrame([(v,) for v in values], "v string").select(T.markdown_layout("v", 50).alias("m")).collect()]
+    assert got == ["# A\nrow\n\nend", "Text here.", "| a |", "x" * 47 + "...", ""]
+    r = spark.range(1).select(T.anchor_terms(F.lit("Q3_Annual-report.v2"), ("report",)).alias("t"), T.anchor_hits(F.lit("the ANNUAL sum"), T.anchor_terms(F.lit("annual q3 sums"))).alias("n")).first()
+    assert r.t == ["annual"] and r.n == 1
