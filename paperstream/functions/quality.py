@@ -175,17 +175,11 @@ def table_likeness(c: Column | str) -> Column:
 def confusion_penalty(c: Column | str) -> Column:
     raw = F.lower(_raw(c))
     each = lambda mark: (F.length(raw) - F.length(F.replace(raw, F.lit(mark), F.lit("")))) / len(mark)
-    plain = reduce(Column.__add__, [each(m) for m in ("tota1", "subtota1", "@", " ee", ",ee")])
-    count = lambda p: F.regexp_count(raw, F.lit(p))
-    return (
-        plain * 4.0 + count(r"\$\d{1,3},\s+\d{3}") * 3.0 + count(r"\b(?:va1ue|lial3ilities|liabilit1es|equlty)\b") * 2.0
-        + count(r"\$\d[\d,]*\.(?:20|49)\b") * 0.75 + count("\\$\\S*[Â¢@e]\\S*") * 8.0
-    )
+    return reduce(Column.__add__, [*(each(m) * 4.0 for m in P.CONFUSED_WORDS), *(F.regexp_count(raw, F.lit(p)) * w for p, w in P.CONFUSED_FORMS)])
 
 
 def finance_tokens(c: Column | str) -> Column:
-    count = lambda p: F.regexp_count(_raw(c), F.lit(p))
-    return F.least(F.lit(24.0), count(r"\$\d{1,3}(?:,\d{3})*(?:\.\d+)?\b") * 8.0 + count(r"\b\d{4}-\d{2}-\d{2}\b") * 5.0 + count(r"\b\d+(?:\.\d+)?%\b") * 5.0)
+    return F.least(F.lit(24.0), reduce(Column.__add__, [F.regexp_count(_raw(c), F.lit(p)) * w for p, w in P.CLEAN_FORMS]))
 
 
 def finance_checks(c: Column | str) -> Column:

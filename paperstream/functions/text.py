@@ -146,7 +146,7 @@ def by_kind(c: Column | str, kind: Column) -> Column:
 def receipt_key(c: Column | str) -> Column:
     """Upper-case key with the spellings of a private limited company made one."""
     s = F.replace(F.upper(_col(c)), F.lit("$B"), F.lit(" SB "))
-    for pattern, to in ((r"\bS\s*/\s*B\b", " SB "), (r"\bS\.?\s*B\.?\b", " SB "), (r"\bSDN\s+(?:EHD|BHO|BND|GHD|8HD|BHD)\b", " SDN BHD "), ("[^A-Z0-9]+", " ")):
+    for pattern, to in P.RECEIPT_SPELLINGS:
         s = F.regexp_replace(s, pattern, to)
     return F.trim(s)
 
