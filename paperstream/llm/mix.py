@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from math import lcm
+from math import ceil, lcm
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -110,9 +110,11 @@ def mix(documents: DataFrame, targets: DataFrame, *, block_tokens: int = BLOCK_T
     if not weights:
         return placed.where("false").select(F.lit(0).cast("long").alias("slot"), "source", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("start"), "doc_id", F.lit(0).alias("repeat"), "n_tokens")
     quota = {s: float(w) * total for s, w in weights.items()}
+    # a source's documents are repeated as often as its share needs, which is at most max_repeats
+    needed = {s: max(1, min(repeats[s], ceil(quota[s] / supply[s] - 1e-9))) for s in weights}
     own = {s: [i for i, x in enumerate(slots) if x == s] for s in weights}
     places = F.create_map(*[x for s, at in own.items() for x in (F.lit(s), F.array(*[F.lit(i) for i in at]))])[F.col("source")]
-    used = placed.where(F.col("source").isin(list(weights))).withColumn("repeat", F.explode(F.sequence(F.lit(0), as_map(repeats).cast("int") - 1)))
+    used = placed.where(F.col("source").isin(list(weights))).withColumn("repeat", F.explode(F.sequence(F.lit(0), as_map(needed).cast("int") - 1)))
     used = used.withColumn("start", F.col("below") + F.col("repeat") * F.col("total")).where(F.col("start") < as_map(quota))
     used = used.withColumn("block", F.floor(F.col("start") / block_tokens)).withColumn("_own", places)
     k = F.size("_own")

@@ -59,3 +59,11 @@ def test_nothing_usable(spark, rng):
     assert mix.mix(df, spark.createDataFrame([("absent", 0.5, 1), ("big", 0.5, 0)], TARGETS)).count() == 0
     assert mix.mix(df.where("false"), spark.createDataFrame([("big", 1.0, 1)], TARGETS)).count() == 0
     assert mix.mix(df, spark.createDataFrame([], TARGETS)).count() == 0
+
+
+def test_a_huge_cap_makes_no_needless_rows(spark, rng):
+    df, _ = docs(spark, rng)
+    t = spark.createDataFrame([("big", 0.9, 1), ("small", 0.1, 2_000_000_000)], TARGETS)
+    rows = mix.mix(df, t, block_tokens=200)
+    total = rows.groupBy("source").agg({"n_tokens": "sum"}).collect()
+    assert {r[0] for r in total} == {"big", "small"} and rows.agg({"repeat": "max"}).first()[0] < 500
