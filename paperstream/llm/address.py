@@ -23,6 +23,8 @@ from paperstream.llm.common import stored
 KNOWN_CODE = 2
 #: Two spellings of one edit stay two streets if the rarer has so many house numbers, and at least this part of the other's.
 OWN_NUMBERS, OWN_PART = 4, 0.34
+#: And at least this part of the other's records per house number: a misspelling is rare at every number, however many numbers it reaches as records grow.
+OWN_RECORDS = 0.34
 
 PARSED = "rec_key string, number string, unit string, kind string, street string, street_no string, direction string, code string, rest array<string>, near array<string>"
 STREET = ["kind", "street_no", "direction"]
@@ -61,8 +63,11 @@ def _bone(word: str) -> Column:
 
 
 def _strokes(word: str) -> Column:
-    """Equal for words that differ only in strokes and rounds: i, l and 1, o and 0, s and 5."""
-    return F.translate(F.col(word), "i1|!05", "llllos")
+    """Equal for words that differ only in strokes, rounds and digits - i, l and 1, o and 0, s and 5 - or in pairs read as one letter, as rn and m."""
+    w = F.col(word)
+    for pair, one in _CONFUSED_PAIRS:
+        w = F.replace(w, F.lit(pair), F.lit(one))
+    return F.translate(w, "i1|!05289", "lllloszbg")
 
 
 def _near_forms(word: str) -> Column:
@@ -110,7 +115,8 @@ def _streets(located: DataFrame) -> DataFrame:
     keys = forms.where("street <> ''").select(*group, "street", "numbers", "records", F.explode(_near_forms("street")).alias("form"))
     a, b = keys.alias("a"), keys.select(*group, "form", F.col("street").alias("other"), F.col("numbers").alias("other_numbers"), F.col("records").alias("other_records"))
     near = a.join(b.hint("merge"), [*group, "form"]).where((F.col("other_numbers") > F.col("numbers")) | ((F.col("other_numbers") == F.col("numbers")) & (F.struct("other_records", "other") > F.struct("records", "street"))))
-    two = (F.col("numbers") >= OWN_NUMBERS) & (F.col("numbers") >= OWN_PART * F.col("other_numbers")) & (_strokes("street") != _strokes("other"))
+    two = (F.col("numbers") >= OWN_NUMBERS) & (F.col("numbers") >= OWN_PART * F.col("other_numbers"))
+    two = two & (F.col("records") * F.col("other_numbers") >= OWN_RECORDS * F.col("other_records") * F.col("numbers")) & (_strokes("street") != _strokes("other"))
     return near.where(~two).groupBy(*group, "street").agg(F.max(F.struct("other_numbers", "other_records", "other")).alias("top")).select(*group, "street", F.col("top.other").alias("canon"))
 
 

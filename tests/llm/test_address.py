@@ -63,3 +63,15 @@ def test_parts():
     assert parse("#731, Persiaran Vermil, 147, 80703 Lemocombe").unit == "731"
     assert parse("227-229 J. Ulindol 4, Suite 263, 53403 Lemoldbury").number == "227&229"
     assert one_edit("mawar", "mawwar") and one_edit("mawar", "mawra") and not one_edit("mawar", "mawwarr")
+
+
+def test_recurring_misspellings_are_no_street_of_their_own(spark):
+    def linked(common, rare, n_common, n_rare):
+        """Whether each spelling's first record links to the other's, with so many records at each of six numbers."""
+        rows = [(f"{s}{n}", k, "address", f"{n} Jalan {s} 3, 14903 Kotabaru", None) for s, times in ((common, n_common), (rare, n_rare)) for n in range(1, 7) for k in range(times)]
+        cands = spark.createDataFrame(rows, CANDS)
+        places = {r.rec_key: r.street for r in address.locations(spark.createDataFrame([], RECEIPTS), cands).collect()}
+        return places[f"cand:{common}1:0"] == places[f"cand:{rare}1:0"]
+
+    assert linked("Cendana", "Cendna", 12, 1) and linked("Tanjamin", "Tanjarnin", 3, 2)
+    assert not linked("Mawar", "Mawas", 12, 10)
