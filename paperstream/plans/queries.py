@@ -17,6 +17,9 @@ from paperstream.streaming import lanes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: No limit: a slice of so many holds any array.
+EVERY = 2**31 - 1
+
 
 def order_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """Field extraction accuracy by order priority: invoices rendered, misread, read again and held against the orders."""
@@ -73,11 +76,11 @@ def text_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merged_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Tables of the first two attempts of every document put together cell by cell."""
-    a = texts(spark, d, "candidates").dropDuplicates(["doc_id", "cand_seq"]).select("doc_id", "cand_seq", Q.markdown_rows("markdown").alias("rows"))
-    x, y = a.where("cand_seq = 0").select("doc_id", F.col("rows").alias("p")), a.where("cand_seq = 1").select("doc_id", F.col("rows").alias("q"))
-    both = x.join(y, "doc_id").where((F.size("p") > 0) | (F.size("q") > 0))
-    return both.select("doc_id", F.posexplode(Q.merged_rows(F.col("p"), F.col("q"))).alias("row_no", "cells"))
+    """Tables of all attempts of every document put together cell by cell, in order of cand_seq; every row of every attempt counts."""
+    a = texts(spark, d, "candidates").dropDuplicates(["doc_id", "cand_seq"]).select("doc_id", "cand_seq", Q.markdown_rows("markdown", most=EVERY).alias("rows"))
+    a = a.where(F.size("rows") > 0).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("cand_seq", "rows"))).alias("readings"))
+    merged = F.aggregate("readings", F.array().cast("array<array<string>>"), lambda done, x: Q.merged_rows(done, x["rows"]))
+    return a.select("doc_id", F.posexplode(merged).alias("row_no", "cells"))
 
 
 def ranked_candidates(spark: SparkSession, d: str) -> DataFrame:

@@ -45,3 +45,13 @@ def test_finance(spark):
     assert one(spark, Q.confusion_penalty("v"), "Tota1: $1.49") == 4.75 and one(spark, Q.finance_tokens("v"), "$1.00 2024-01-01 5% ") == 13.0
     assert one(spark, Q.is_receipt(F.col("v")), "RECEIPT no gst") and not one(spark, Q.is_template("v"), "net profit")
     assert one(spark, Q.table_likeness("v"), "a | b | c") == 0.25
+
+
+def test_merged_tables_use_all_attempts_and_rows(spark, tmp_path):
+    from paperstream.plans.queries import merged_tables
+
+    table = lambda rows: "\n".join(f"| {a} | {b} |" for a, b in rows)
+    rows = [("1", 0, table([("a", "b")])), ("1", 1, None), ("1", 2, table([("a", "b"), ("c", "d")])), ("1", 3, table([("a", "b"), ("c", "defgh")])), ("2", 1, table([(f"k{i}", f"v{i}") for i in range(50)])), ("3", 0, "none")]
+    spark.createDataFrame(rows + rows[:1], "doc_id string, cand_seq int, markdown string").write.parquet(f"{tmp_path}/candidates.parquet")
+    got = {(r.doc_id, r.row_no): r.cells for r in merged_tables(spark, str(tmp_path)).collect()}
+    assert len(got) == 52 and got["1", 0] == ["a", "b"] and got["1", 1] == ["c", "defgh"] and got["2", 49] == ["k49", "v49"]
