@@ -20,13 +20,15 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share. The cluster names it in spark.checkpoint.dir; only where that is unset (tests) one is made."""
+    """The folder all executors share, named in spark.checkpoint.dir. Only where that is unset and all runs on this machine (tests) one is made."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     set_by_code = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_by_code.isDefined():
         return set_by_code.get()
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="paperstream-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)

@@ -10,6 +10,7 @@ higher rank, so the steps in between could not pick another pair. A text's ids a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from paperstream.llm import bpe
 
-#: Words of more bytes run through the same contraction one statement a step, which keeps only the newest state.
+#: Words of more bytes are contracted by a heap of their pairs: the recursion would keep every step of a word as long as a text.
 LONG_WORD = 400
 #: Distinct words of one recursive query; bounds its state.
 QUERY_WORDS = 20_000
@@ -69,6 +70,7 @@ class WordEncoder:
         # no folder for spilled data: the state is bounded by QUERY_WORDS and LONG_WORD
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": "", "autoinstall_known_extensions": False})
         table = pa.table({n: merges[:, i] for i, n in enumerate(("l", "r", "rank", "merged"))})
+        self.table, self.merges = merges, {}
         self.db.register("given", table)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.ids: dict[str, list[int]] = {}
@@ -105,15 +107,53 @@ class WordEncoder:
         return found.column("ids").to_pylist()
 
     def _merge_long(self, raw: bytes) -> list[int]:
-        self._start([raw])
-        self.db.execute("CREATE OR REPLACE TABLE now AS SELECT 0 AS step, w, pos, tok FROM start")
-        while True:
-            self.db.execute(f"CREATE OR REPLACE TABLE following AS {_STEP.format(step='step + 1', state='now')}")
-            if self.db.execute("SELECT count(*) FROM following").fetchall() == [(0,)]:
-                return self.db.execute("SELECT list(tok ORDER BY pos) FROM now").fetchall()[0][0]
-            self.db.execute("DROP TABLE now; ALTER TABLE following RENAME TO now")
+        if not self.merges:
+            self.merges = {(a, b): (rank, into) for a, b, rank, into in self.table.tolist()}
+        return merge_long(self.byte_ids[np.frombuffer(raw, np.uint8)].tolist(), self.merges)
+
+
+def merge_long(tokens: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """The tokens with the pair of least rank, leftmost first, contracted until no pair is left, in n log n steps."""
+    n = len(tokens)
+    following, before = [*range(1, n), -1], [*range(-1, n - 1)]
+    heap = [(merges[p][0], i, *p) for i, p in enumerate(zip(tokens, tokens[1:], strict=False)) if p in merges]
+    heapify(heap)
+    while heap:
+        _, i, a, b = heappop(heap)
+        j = following[i]
+        if j < 0 or tokens[i] != a or tokens[j] != b:
+            continue  # one of the two is gone
+        tokens[i], tokens[j] = merges[a, b][1], -1
+        following[i] = k = following[j]
+        if k >= 0:
+            before[k] = i
+        for x, y in ((before[i], i), (i, k)):
+            if x >= 0 and y >= 0 and (p := (tokens[x], tokens[y])) in merges:
+                heappush(heap, (merges[p][0], x, *p))
+    return [t for t in tokens if t >= 0]
+
+
+class WordDecoder:
+    """Texts of lists of ids; one per worker."""
+
+    def __init__(self, folder: str):
+        import duckdb
+
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": "", "autoinstall_known_extensions": False})
+        tokens = bpe.token_bytes(folder)
+        self.db.register("given", pa.table({"tok": np.arange(len(tokens), dtype=np.int32), "hex": [t.hex() for t in tokens]}))
+        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
+
+    def texts(self, rows: pa.ListArray) -> dict[int, str]:
+        """{row: text} of the rows that have ids: token-position rows joined to the vocabulary and put together by an ordered aggregation."""
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(rows), 0).to_numpy()
+        flat = pa.compute.list_flatten(rows)
+        self.db.register("positions", pa.table({"row": np.repeat(np.arange(len(sizes)), sizes), "pos": np.arange(len(flat)), "tok": flat}))
+        made = self.db.execute("SELECT row, string_agg(hex, '' ORDER BY pos) FROM positions JOIN vocabulary USING (tok) GROUP BY row").fetchall()
+        return {row: bytes.fromhex(x).decode("utf-8", "replace") for row, x in made}
 
 
+_decoders: dict[str, WordDecoder] = {}
 _workers: dict[str, WordEncoder] = {}
 
 
@@ -150,9 +190,11 @@ def decode(df: DataFrame, *, key: str = "doc_id", ids: str = "ids", vocabularies
     """(key, text): the inverse of encode; null ids give null, an empty list the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = bpe.token_bytes(vocabularies)
+        if vocabularies not in _decoders:
+            _decoders[vocabularies] = WordDecoder(vocabularies)
         for batch in batches:
-            texts = [None if x is None else b"".join([tokens[i] for i in x]).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            whole = _decoders[vocabularies].texts(batch.column(1))
+            texts = [whole.get(i, "") if known else None for i, known in enumerate(batch.column(1).is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
     kind = df.schema[key].dataType.simpleString()

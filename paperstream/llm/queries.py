@@ -72,5 +72,13 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split(table(spark, d, "documents"), table(spark, d, "piece_limits"))
 
 
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    return mix.kept(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    return split.kept(table(spark, d, "documents"), table(spark, d, "piece_limits"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_shares, p1_lengths, p2_found, p3_found, p3_locations, p4_percentiles, p5_found, p5_paragraphs, p6_ids, p6_decoded, p7_mix, p7_shares, p8_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_shares, p1_lengths, p2_found, p3_found, p3_locations, p4_percentiles, p5_found, p5_paragraphs, p6_ids, p6_decoded, p7_mix, p7_shares, p7_kept, p8_pieces, p8_kept)}

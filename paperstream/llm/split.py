@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperstream.llm import bpe
@@ -135,7 +135,9 @@ class Cutter:
                 return
             most = limit
             while True:
-                least = s + max(overlap + 1, int(most * LEAST_PART))
+                # within the limit comes first: where the overlap leaves no piece that keeps it, this piece and the overlap get shorter
+                floor = overlap if most > overlap + 1 else 0
+                least = s + max(floor + 1, int(most * LEAST_PART))
                 first, last = bisect_left(self.at, least), bisect_right(self.at, s + most) - 1
                 if first <= last:
                     key = self.table.best(first, last)
@@ -144,17 +146,33 @@ class Cutter:
                 else:  # no word ends in the window: cut within the word, between characters
                     strength = 0
                     e, e_char = self._inside(s + most, up=False)
-                    if e <= s + overlap:
-                        e, e_char = self._inside(s + overlap + 1, up=True)
+                    if e <= s + floor:
+                        e, e_char = self._inside(s + floor + 1, up=True)
                 # a piece that starts or ends within a word may take more tokens by itself than within the text
-                if most <= overlap + 1 or self._alone(s, s_char, e, e_char) <= limit:
+                if most <= 1 or self._alone(s, s_char, e, e_char) <= limit:
                     break
                 most -= 1
             yield s, e, s_char, e_char, strength
             if e >= self.total:
                 return
             n, n_char = self._inside(e - overlap, up=False)
-            s, s_char = (n, n_char) if n > s else (e, e_char)
+            if n <= s:  # a shorter overlap, from the next whole character on
+                n, n_char = self._inside(s + 1, up=True)
+            s, s_char = (n, n_char) if s < n < e else (e, e_char)
+
+
+def kept(documents: DataFrame, limits: DataFrame, *, vocabularies: str = bpe.VOCABULARIES) -> DataFrame:
+    """(profile, limit_kept, overlap_kept, whole_kept) per profile that has pieces: no piece is over the limit, consecutive pieces share the overlap - up to three tokens more -, and the pieces cover their texts from end to end."""
+    by = Window.partitionBy("doc_id", "profile").orderBy("piece_no")
+    made = split(documents, limits, vocabularies=vocabularies).withColumn("chars", F.length("text")).select("doc_id", "profile", "piece_no", "n_pieces", "start_token", "end_token", "start_char", "end_char", "chars")
+    shared = F.lag("end_token").over(by) - F.col("start_token")
+    made = made.withColumns({"shared": shared, "meets": F.coalesce(F.lag("end_char").over(by) >= F.col("start_char"), F.col("start_char") == 0)})
+    made = made.join(F.broadcast(limits.select("profile", "max_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("overlap"))), "profile")
+    return made.groupBy("profile").agg(
+        F.every(F.col("end_token") - F.col("start_token") <= F.col("max_tokens")).alias("limit_kept"),
+        F.every(F.coalesce(F.col("shared").between(F.col("overlap"), F.col("overlap") + 3), F.lit(True))).alias("overlap_kept"),
+        F.every("meets").alias("whole_kept"),
+    )
 
 
 _workers: dict[str, Words] = {}
@@ -164,8 +182,9 @@ def split(documents: DataFrame, limits: DataFrame, *, key: str = "doc_id", text:
     """(key, profile, piece_no, n_pieces, start_token, end_token, start_char, end_char, cut, text): pieces of every text longer than a profile's max_tokens.
 
     Token positions are those of the text's own encoding, so consecutive pieces share exactly overlap_tokens tokens - a few
-    more where that would divide a character. A piece encoded by itself also keeps the limit; only a limit too small for
-    a single character's tokens is exceeded, by that character. `cut` names the end's boundary. Null, empty and short texts have no piece; profiles with null
+    more where that would divide a character, and fewer where a piece could not keep the limit otherwise, which takes
+    overlaps of nearly the limit. A piece encoded by itself keeps the limit; only a limit too small for a single
+    character's tokens is exceeded, by that character. `cut` names the end's boundary. Null, empty and short texts have no piece; profiles with null
     or non-positive max_tokens are left out; a null overlap is 0 and an overlap not below max_tokens counts as
     max_tokens - 1. Repeated rows come out as often as they come in. No shuffle; piece_limits is collected: it is one row
     per profile.

@@ -30,5 +30,18 @@ FROM g, (SELECT unnest({list(PERCENTILES)})::DOUBLE AS p, unnest(range(1, {len(P
 """
 
 
+#: What must hold of every mix: each listed source with a text keeps its share and its cap.
+P7_KEPT = """
+SELECT DISTINCT source, true AS share_kept, true AS repeats_kept FROM mix_targets
+WHERE target_share > 0 AND max_repeats > 0 AND source IN (SELECT source FROM documents WHERE length(text) > 0)
+"""
+
+#: What must hold of every profile's pieces; a text of as many letters is longer than the limit in tokens.
+P8_KEPT = """
+SELECT profile, true AS limit_kept, true AS overlap_kept, true AS whole_kept FROM piece_limits
+WHERE max_tokens > 0 AND (SELECT max(length(text)) FROM documents) > 8 * max_tokens
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p4_percentiles": P4_PERCENTILES}
+    return {"p2_found": P2_FOUND, "p4_percentiles": P4_PERCENTILES, "p7_kept": P7_KEPT, "p8_kept": P8_KEPT}

@@ -36,6 +36,10 @@ def case(spark):
     fax = next(d for d in docs if ("documents", str(d[0]), "text") in true and d[2] == "fax")
     docs += [(9001, fax[1], "desk", "x"), (9002, None, "fax", "x"), (9003, "", "fax", "x"), (9004, " \n ", None, "x"), (9005, "Notes ........", "desk", "x")]
     true.add(("documents", "9001", "text"))
+    # names at the limit look like a signature: only the significant length tells
+    for i in range(9100, 9110):
+        docs.append((i, (letter(rng, 14)[:488].rstrip() + " x" * 9)[:489] + "\n\n" + "Ann Moore", "fax", "x"))
+        true.add(("documents", str(i), "text"))
     for i in range(300):
         full = letter(rng, 6)
         flat = " ".join(full.split())
@@ -58,6 +62,25 @@ def test_cut_values_are_found(case):
     assert ("documents", "9001", "text") in got and not any(k in ("9002", "9003", "9004", "9005") for _, k, _ in got)
 
 
+def test_significance_decides(case):
+    """Without significant lengths the rule `length` finds nothing, and values that only the length gives away are lost."""
+    d, c, true = case
+    rules = lambda fdr: {(r.tab, r.rec_key, r.fld): r.rule for r in cutoff.judged(d, c, fdr).where("rule is not null").collect()}
+    with_, without = rules(cutoff.FDR), rules(-1.0)  # below any p
+    assert {"length", "other_form", "transfer", "copy"} >= set(with_.values()) and "length" not in without.values()
+    lost = with_.keys() - without.keys()
+    assert {("documents", str(i), "text") for i in range(9100, 9110)} <= lost and len(lost - true) <= 2
+
+
+def test_blanks_behind_a_value_change_nothing(spark):
+    prose = "we write to confirm that the goods were delivered and " * 6 + "out a stop here"
+    docs = spark.createDataFrame([(1, prose, "a", "x"), (2, prose + " " * 1985, "a", "x"), (3, prose + " " * 5000, "b", "x")], DOCS)
+    got = cutoff.judged(docs, spark.createDataFrame([], CANDS)).collect()
+    assert len(got) == 3 and {r.rule for r in got} == {"transfer"}
+    a, b = cutoff._digest(prose), cutoff._digest(prose + " " * 1985)
+    assert a[4:] == b[4:]
+
+
 def test_the_limits_themselves(case):
     d, c, _ = case
     sure = {(r.grp, r.unit, r.len) for r in cutoff.limits(d, c).where("sure").collect()}
@@ -68,7 +91,7 @@ def test_the_limits_themselves(case):
 def test_shares_and_empty_tables(case):
     d, c, true = case
     rows = {(r.tab, r.fld, r.grp): r for r in cutoff.cut_shares(d, c).collect()}
-    assert rows["documents", "text", "fax"].n_cut > 0 and ("documents", "text", None) in rows
+    assert (fax := rows["documents", "text", "fax"]).n_cut == fax.n_length + fax.n_other_form + fax.n_transfer + fax.n_copy > 0 and ("documents", "text", None) in rows
     assert cutoff.cut_values(d.where("false"), c.where("false")).count() == 0
 
 

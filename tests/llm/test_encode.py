@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -44,6 +46,22 @@ def test_words_by_recursive_merges(text):
     assert [i for w in words for i in known.ids[w]] == enc.encode_ordinary(text)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("aab_-e9é "), min_size=1, max_size=200))
+def test_long_words_have_the_same_ids(word):
+    known = encode._worker(bpe.VOCABULARIES)
+    raw = word.encode()
+    assert known._merge_long(raw) == known._merge([raw])[0]
+
+
+def test_a_word_as_long_as_a_text():
+    word = "".join(random.Random(3).choice("abcdefgh0123") for _ in range(40_000)).replace("0", "zz")
+    letters = "".join(c for c in word if c.isalpha())
+    known = encode.WordEncoder(bpe.VOCABULARIES)
+    known.learn({letters})
+    assert known.ids[letters] == bpe.encoding(bpe.VOCABULARIES).encode_ordinary(letters)
+
+
 def test_a_full_cache_is_forgotten(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
     e = encode.WordEncoder(bpe.VOCABULARIES)

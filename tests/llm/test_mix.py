@@ -1,6 +1,7 @@
 from collections import Counter
 from fractions import Fraction
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -14,7 +15,7 @@ DOCS = "doc_id long, source string, text string, n_tokens string"
 @given(st.lists(st.integers(1, 40), min_size=1, max_size=7))
 def test_pfair_deviates_by_less_than_a_block(parts):
     weights = {f"s{i}": Fraction(p, sum(parts)) for i, p in enumerate(parts)}
-    slots = mix.pfair_period(weights)
+    slots = mix.pfair_slots(weights)
     given_ = Counter()
     for t, s in enumerate(slots, 1):
         given_[s] += 1
@@ -22,6 +23,29 @@ def test_pfair_deviates_by_less_than_a_block(parts):
     assert all(given_[x] == w * len(slots) for x, w in weights.items())
 
 
+def test_small_shares_and_long_periods_keep_every_source():
+    weights, total = mix.plan_shares({"a": 10**6, "b": 1000}, [("a", 0.99996, 1), ("b", 0.00004, 1), ("b", 0.00004, 1)])
+    assert weights == {"a": Fraction(24999, 25000), "b": Fraction(1, 25000)} and total == Fraction(10**6 * 25000, 24999)
+    with pytest.raises(ValueError):
+        mix.plan_shares({"a": 1}, [("a", 0.5, 1), ("a", 0.4, 1)])
+    odd = {"a": mix.exact(0.1234567), "b": mix.exact(0.8765432), "c": mix.exact(0.0000001)}
+    table, (size, per) = mix.slot_table(odd, 500, {"a": 62, "b": 439, "c": 1})
+    slots = {(r["source"], r["_own"]): r["_slot"] for r in table.to_pylist()}
+    assert len(slots) == len(set(slots.values())) == size and per["c"] == 1 and slots["c", 0] == size - 1
+    assert all((s, j) in slots for s, n in (("a", 62), ("b", 439)) for j in range(n))
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=6), st.integers(1, 150))
+def test_slot_tables_place_every_block(parts, total):
+    weights = {f"s{i}": Fraction(p, sum(parts)) for i, p in enumerate(parts)}
+    blocks = {s: -int(-(w * total) // 1) for s, w in weights.items()}
+    table, (size, per) = mix.slot_table(weights, total, blocks)
+    slots = {(r["source"], r["_own"]): r["_slot"] for r in table.to_pylist()}
+    at = [j // per[s] * size + slots[s, j % per[s]] for s in blocks for j in range(blocks[s])]
+    assert len(at) == len(set(at))
+
+
 def docs(spark, rng):
     rows, i = [], 0
     for source, n in (("big", 300), ("mid", 80), ("small", 12), ("other", 30), (None, 5)):

@@ -51,6 +51,16 @@ def test_overlap_as_large_as_the_limit_and_empty_tables(spark):
     assert split.split(df.where("false"), spark.createDataFrame([("a", 8, 2)], LIMITS)).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("ab ,.\n\té价🙂'xz"), min_size=1, max_size=200), st.integers(4, 24), st.integers(0, 24))
+def test_the_limit_comes_before_the_overlap(text, limit, overlap):
+    known = split.Words(bpe.VOCABULARIES)
+    pieces = list(split.Cutter(text, known, bpe.splitter().findall(text), limit).pieces(limit, overlap))
+    assert pieces[0][2] == 0 and pieces[-1][3] == len(text)
+    assert all(known.size(text[a:b]) <= limit for _, _, a, b, _ in pieces)
+    assert all(a[2] < b[2] <= a[3] for a, b in zip(pieces, pieces[1:], strict=False))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(st.sampled_from("ab ,.\n\té价🙂'"), min_size=1, max_size=300), st.integers(4, 20), st.integers(0, 3))
 def test_any_text_is_covered(text, limit, overlap):
