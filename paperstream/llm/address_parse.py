@@ -6,10 +6,20 @@ import re
 import unicodedata
 from typing import NamedTuple
 
-# Street words before a name, street words behind a name, directions, unit and number words, each with its spellings.
+# Fixed values, each with its spellings: usual street words before and behind a name, directions, and those sought where a value
+# has no usual one - before a name, behind a name, at a word's end; then unit, number and area words.
 STREET_BEFORE = {"jalan": "jalan jln jl j", "lorong": "lorong lrg lor", "persiaran": "persiaran psrn psn"}
 STREET_BEHIND = {"avenue": "avenue ave av", "boulevard": "boulevard blvd", "lane": "lane ln", "road": "road rd", "street": "street str st", "drive": "drive dr"}
 DIRECTIONS = {"n": "north n", "s": "south s", "e": "east e", "w": "west w"}
+OTHER_BEFORE = {
+    "lebuh": "lebuh lbh", "lebuhraya": "lebuhraya", "lintang": "lintang ltg", "solok": "solok", "medan": "medan", "changkat": "changkat", "rue": "rue", "place": "place pl", "chemin": "chemin ch",
+    "impasse": "impasse", "quai": "quai", "calle": "calle c", "avenida": "avenida avda", "plaza": "plaza pza", "paseo": "paseo", "via": "via", "viale": "viale",
+}
+OTHER_BEHIND = {
+    "court": "court ct", "way": "way wy", "place": "place pl", "square": "square sq", "terrace": "terrace ter", "close": "close", "crescent": "crescent cres cr", "highway": "highway hwy", "parkway": "parkway pkwy",
+    "circle": "circle cir", "trail": "trail trl", "alley": "alley aly", "grove": "grove grv", "row": "row", "walk": "walk", "gardens": "gardens gdns", "weg": "weg", "platz": "platz", "gasse": "gasse",
+}
+ENDINGS = {"strasse": "strasse str", "weg": "weg", "platz": "platz pl", "gasse": "gasse", "allee": "allee"}
 UNIT_WORDS = frozenset("unit u suite ste apt".split())
 NUMBER_WORDS = frozenset("no lot".split())
 AREA_WORDS = frozenset("taman tmn bandar bdr".split())
@@ -19,6 +29,10 @@ AS_LETTERS = str.maketrans("012589!|", "olzsbgll")
 
 _BEFORE = {w: k for k, v in STREET_BEFORE.items() for w in v.split()}
 _BEHIND = {w: k for k, v in STREET_BEHIND.items() for w in v.split()}
+_OTHER_BEFORE = {w: k for k, v in OTHER_BEFORE.items() for w in v.split()}
+_OTHER_BEHIND = {w: k for k, v in OTHER_BEHIND.items() for w in v.split()}
+_ENDING = re.compile(r"(\w{3,}?)(%s)" % "|".join(w for v in ENDINGS.values() for w in v.split()))
+_ENDINGS = {w: k for k, v in ENDINGS.items() for w in v.split()}
 _DIRECTION = {w: k for k, v in DIRECTIONS.items() for w in v.split()}
 _TOKEN = re.compile(r"[#]|[&]|[,;]|[^\W_]+(?:[-/!|'][^\W_]+)*|[!|]", re.UNICODE)
 _NUMBER = re.compile(r"(\d{1,4})-?([a-z]?)")
@@ -30,6 +44,8 @@ class Address(NamedTuple):
     unit: str
     kind: str
     street: str
+    more: list[str]
+    whole: bool
     street_no: str
     direction: str
     code: str
@@ -81,11 +97,79 @@ def _pair(tokens: list[str], a: tuple, b: tuple) -> bool:
     return between == [","] and a[1].isdigit() and b[1].isdigit() and int(b[1]) == int(a[1]) + 2
 
 
+#: A value with so many marks sets its parts apart by them.
+MARKS = 2
+
+
+def _is_name(token: str) -> bool:
+    """Whether a token may be a word of a street's name."""
+    return len(token) > 1 and token[0].isalnum() and _digits(token) is None and not any(c.isdigit() for c in token[:1]) and token not in AREA_WORDS and token not in UNIT_WORDS and token not in NUMBER_WORDS and token != "and"
+
+
+def _run(tokens: list[str], taken: list[bool], i: int, step: int) -> list[str]:
+    """The words of a name from token i on, in the direction of `step`."""
+    out = []
+    while 0 <= i < len(tokens) and not taken[i] and _is_name(tokens[i]):
+        out.append(_letters(tokens[i]))
+        i += step
+    return out
+
+
+def _street(tokens: list[str], taken: list[bool]) -> tuple[str, str, list[str], bool, str, str] | None:
+    """(kind, nearest word of the name, further words, whether all are the name's, number of the street, direction); marks the tokens it is sure of as taken."""
+    n = len(tokens)
+    marked = sum(t in ",;" for t in tokens) >= MARKS
+    for before, behind in ((_BEFORE, _BEHIND), (_OTHER_BEFORE, _OTHER_BEHIND)):
+        for i, t in enumerate(tokens[:-1]):
+            if taken[i] or t in ",;" or taken[i + 1] or len(tokens[i + 1]) < 2 or not _is_name(tokens[i + 1]) or not (k := _word(t, before)):
+                continue
+            if before is _BEFORE and len(tokens[i + 1]) < 3:
+                continue
+            name = _run(tokens, taken, i + 1, 1)
+            taken[i] = taken[i + 1] = True
+            at = i + 1 + len(name)  # a number behind the name is the street's
+            if at < n and not taken[at] and (((d := _digits(tokens[at])) and len(d) <= 2) or tokens[at] in ("l", "i")):
+                if len(name) == 1 or (before is _BEFORE and tokens[at - 1] not in NUMBER_WORDS):
+                    taken[at] = True
+                    return k, name[0], name[1:], True, d or "1", ""
+            return k, name[0], name[1:], marked or len(name) == 1, "", ""
+        for i, t in enumerate(tokens):
+            if not i or taken[i] or taken[i - 1] or len(tokens[i - 1]) < 3 or not _is_name(tokens[i - 1]) or not (k := _word(t, behind)):
+                continue
+            name = _run(tokens, taken, i - 1, -1)
+            taken[i] = taken[i - 1] = True
+            direction, first = "", i - len(name) - 1
+            numbered = first >= 0 and not taken[first] and (tokens[first] in _DIRECTION or any(c.isdigit() for c in tokens[first]))
+            for j in range(i - 2, i - 1 - len(name) - 1, -1):  # a direction opens the name
+                if j >= 0 and not taken[j] and tokens[j] in _DIRECTION:
+                    direction, taken[j] = _DIRECTION[tokens[j]], True
+                    name = name[: i - 1 - j]
+                    break
+            return k, name[0], name[1:], marked or numbered or bool(direction) or len(name) == 1, "", direction
+    for i, t in enumerate(tokens):
+        if not taken[i] and (m := _ENDING.fullmatch(t)) and any(any(c.isdigit() for c in x) for x in tokens):
+            taken[i] = True
+            return _ENDINGS[m.group(2)], m.group(1), [], True, "", ""
+    # no street word: the words behind a number within its own part of the value, if a mark sets them apart
+    for i, t in enumerate(tokens[:-1]):
+        if not taken[i] and any(c.isdigit() for c in t) and (name := _run(tokens, taken, i + 1, 1)):
+            end = i + 1 + len(name)
+            if end < n and tokens[end] in ",;":
+                taken[i + 1 : end] = [True] * len(name)
+                return "", " ".join(name), [], True, "", ""
+    return None
+
+
 def parse(value: str | None) -> Address | None:
-    """None unless the value has a street and a number: a town alone, or no address at all, denotes no location."""
+    """None unless the value has a street and a number: a town alone, or no address at all, denotes no location.
+
+    `street` is the word of the street's name next to its street word, `more` the words that follow it before the next
+    mark or number: further words of the name, or an area and a town written without a comma. Where the value has MARKS
+    marks or the building's number is on the other side of them, all belong to the name (`whole`); else the records tell.
+    """
     if not value:
         return None
-    text = unicodedata.normalize("NFKC", value).lower()
+    text = unicodedata.normalize("NFKC", value).lower().replace("ß", "ss")
     tokens = _TOKEN.findall(text.replace(".", " ").replace(":", " "))
     tokens = [t for t in tokens if t]
     n = len(tokens)
@@ -96,32 +180,10 @@ def parse(value: str | None) -> Address | None:
         d = _digits(t)
         if d and len(d) == 5 and len(t) == 5 and sum(c.isdigit() for c in t) >= 2 and not (i and tokens[i - 1] in ("bill", "tel")):
             code, code_at, taken[i] = d, i, True
-    # street
-    kind = street = street_no = direction = ""
-    at = -1
-    for i, t in enumerate(tokens):
-        if taken[i] or t in ",;":
-            continue
-        k = _word(t, _BEFORE)
-        if k and i + 1 < n and not taken[i + 1] and len(tokens[i + 1]) > 2 and _digits(tokens[i + 1]) is None and tokens[i + 1] not in AREA_WORDS:
-            kind, at = k, i
-            street = _letters(tokens[i + 1])
-            taken[i] = taken[i + 1] = True
-            if i + 2 < n and (d := _digits(tokens[i + 2])) and len(d) <= 2 and not taken[i + 2]:
-                street_no, taken[i + 2] = d, True
-            elif i + 2 < n and tokens[i + 2] in ("l", "i") and not taken[i + 2]:
-                street_no, taken[i + 2] = "1", True
-            break
-    if not kind:
-        for i, t in enumerate(tokens):
-            if i and not taken[i] and (k := _word(t, _BEHIND)) and len(tokens[i - 1]) > 2 and _digits(tokens[i - 1]) is None and not taken[i - 1] and tokens[i - 1] not in ",;":
-                kind, street, at = k, _letters(tokens[i - 1]), i - 1
-                taken[i] = taken[i - 1] = True
-                if i > 1 and tokens[i - 2] in _DIRECTION:
-                    direction, taken[i - 2] = _DIRECTION[tokens[i - 2]], True
-                break
-    if not kind:
+    street = _street(tokens, taken)
+    if street is None:
         return None
+    kind, name, more, whole_name, street_no, direction = street
     # unit: after its word, or a number with a hyphen between numbers
     unit = ""
     for i, t in enumerate(tokens):
@@ -197,4 +259,4 @@ def parse(value: str | None) -> Address | None:
     rest = [_letters(t) for i, t in enumerate(tokens) if not taken[i] and t not in ",;&#" and t not in NUMBER_WORDS and t != "and" and len(t) > 1]
     near = [_letters(tokens[j]) for j in (code_at - 1, code_at - 2, code_at + 1, code_at + 2) if code_at >= 0 and 0 <= j < n and not taken[j] and tokens[j].isalpha() and len(tokens[j]) > 2]
     lot = "lot" in (tokens[max(0, first[0] - 1)], tokens[max(0, first[0] - 2)]) if first[0] else False
-    return Address(lot, number, unit, kind, street, street_no, direction, code, rest, near)
+    return Address(lot, number, unit, kind, name, more, whole_name, street_no, direction, code, rest, near)

@@ -75,3 +75,25 @@ def test_recurring_misspellings_are_no_street_of_their_own(spark):
 
     assert linked("Cendana", "Cendna", 12, 1) and linked("Tanjamin", "Tanjarnin", 3, 2)
     assert not linked("Mawar", "Mawas", 12, 10)
+
+
+def test_street_names_of_several_words_and_other_street_words(spark):
+    places = [
+        ["5, Jalan Bukit Bintang, 50200 Kualapura, Selatan", "No 5 Jln Bukit Bintang 50200 Kualapura", "5 JALAN BUKIT BINTANG, KUALAPURA"], ["5, Jalan Bukit Jalil, 50200 Kualapura, Selatan", "#5, J. Bukit Jalil, Kualapura 50200"],
+        ["5 Old Mill Road, 20100 Westford, Utara", "5 old mill rd, westford 20100"], ["5 New Mill Road, 20100 Westford, Utara", "5 New Mill Rd, Westford 20100"], ["5 Mill Road, 20100 Westford, Utara"],
+        ["12 Oak Court, 20100 Westford, Utara", "12 Oak Ct, Westford 20100"], ["7 Elm Way, 20100 Westford", "7 elm wy, 20100 westford"], ["15 Lebuh Pantai, 50200 Kualapura", "15, Lbh Pantai, Kualapura 50200"],
+        ["3 Rue de la Paix, 75002 Lutetia", "3, rue de la paix, 75002 lutetia"], ["3 Rue de la Victoire, 75002 Lutetia"], ["Hauptstraße 5, 10115 Spreestadt", "Hauptstr. 5, 10115 Spreestadt"], ["12 Broadwalk, 20100 Westford", "12 BROADWALK, WESTFORD 20100"],
+    ]
+    r, c, groups = tables(spark, places)
+    rows = {tuple(x) for x in address.same_location(r, c).collect()}
+    assert rows == {tuple(sorted(p)) for g in groups for p in combinations(g, 2)}
+    found = {x.rec_key: x for x in address.locations(r, c).collect()}
+    assert found["receipt:r0"].street == "bukit bintang" and {found[k].representative for k in groups[0]} == {min(groups[0])}
+    assert all(found[k].n_records == len(g) and found[k].place_id == found[g[0]].place_id for g in groups for k in g)
+
+
+def test_ambiguous_records_are_shown_with_their_candidates(spark):
+    places = [["1 OAK ROAD, 30000 LEMDALE, UTARA", "1 oak road, 30000 lemdale"], ["1 OAK ROAD, 31000 LERDALE, UTARA", "1 oak rd, lerdale 31000"], ["1 OAK ROAD, LEDALE"]]
+    found = {x.rec_key: x for x in address.locations(*tables(spark, places)[:2]).collect()}
+    assert found["receipt:r2"].localities == ["30000", "31000"] and found["receipt:r2"].place_id is None and found["receipt:r2"].region == "utara"
+    assert found["receipt:r0"].localities == ["30000"] and found["receipt:r0"].n_records == 2
