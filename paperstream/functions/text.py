@@ -54,6 +54,11 @@ def lines(c: Column | str) -> Column:
     return F.filter(F.transform(F.split(_col(c), _LINE_BREAK), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != "")
 
 
+def raw_lines(c: Column | str) -> Column:
+    """The lines of a text as they are, blank ones included."""
+    return F.split(_col(c), _LINE_BREAK)
+
+
 def stripped_lines(c: Column | str) -> Column:
     """Non-blank lines with the white space at their ends cut off."""
     return F.filter(F.transform(F.split(_col(c), _LINE_BREAK), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
@@ -143,6 +148,15 @@ def by_kind(c: Column | str, kind: Column) -> Column:
     return F.when(k.isin(*P.NUMERIC_KINDS), number_text(c)).when(k == "date", date_text(c)).otherwise(key(c))
 
 
+def label_pattern(alias: Column, table: str) -> Column:
+    """patterns.bounded_alias of a Column of labels."""
+    space, letters = P.ALIAS_TABLES[table]
+    known = F.create_map(*[F.lit(x) for kv in letters.items() for x in kv])
+    plain = lambda ch: F.when(ch.rlike(r"^[A-Za-z0-9_]$|^[^\x00-\x7f]$"), ch).otherwise(F.concat(F.lit("\\"), ch))
+    one = lambda ch: F.when(ch.rlike(r"^(?U)\s$"), F.lit(space)).otherwise(F.coalesce(F.try_element_at(known, F.lower(ch)), plain(ch)))
+    return F.concat(F.lit("(?<![A-Za-z0-9])"), F.array_join(F.transform(F.filter(F.split(alias, ""), lambda ch: ch != ""), one), ""), F.lit("(?![A-Za-z0-9])"))
+
+
 def receipt_key(c: Column | str) -> Column:
     """Upper-case key with the spellings of a private limited company made one."""
     s = F.replace(F.upper(_col(c)), F.lit("$B"), F.lit(" SB "))

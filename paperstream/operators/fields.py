@@ -48,11 +48,11 @@ def offered(df: DataFrame, ids: list[str], text: str = "text", specs: str = "spe
             rows: list[tuple] = []
             for i, (value, wanted) in enumerate(zip(batch.column(len(ids)).to_pylist(), batch.column(len(ids) + 1).to_pylist(), strict=True)):
                 n = 0
-                page = plain.Page(value)
+                lines = plain.read_lines(value)
                 for spec in wanted or () if value else ():
                     name, kind = spec["name"] or "", (spec["type"] or "text").lower().strip()
                     aliases = tuple(a for a in spec["aliases"] or [] if a) or (name,)
-                    for found in plain.candidates(page, name, aliases, kind):
+                    for found in plain.candidates(lines, name, aliases, kind):
                         at.append(i)
                         rows.append((name, kind, list(aliases), *found, n))
                         n += 1

@@ -2,32 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from paperstream.functions import patterns as P
-from paperstream.functions import plain
+from paperstream.functions import text as T
 
 #: Records a model is trained from: the classifier's documented, bounded sample.
 TRAINING_RECORDS = 20_000
 
 
-def with_features(rows: DataFrame) -> DataFrame:
-    """Candidates (field, kind, aliases, value, source_line, confidence, reason) with a `features` map."""
-    names = ["value", "source_line", "confidence", "reason", "field", "aliases", "kind"]
+# Fields whose text is an identifier.
+IDENTIFIERS = ("invoice_number", "account")
+_FAR, _AT_ONCE = 1.0, 3
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in names]
-            maps = [list(plain.features(v or "", line or "", c or 0.0, r or "", f or "", tuple(a or ()), k or "text").items()) for v, line, c, r, f, a, k in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maps, pa.map_(pa.string(), pa.float64()))], names=[*batch.schema.names, "features"])
+def _label_gaps() -> Column:
+    """What stands between each label and the value's first place in its line; a label's last occurrence is the nearest. Empty array without any."""
+    at = F.position(F.col("value"), F.col("source_line"))
+    # one character of the value closes the text, so that a label can't end within a word
+    before = F.substring("source_line", F.lit(1), at)
+    pattern = lambda a: F.concat(F.lit("(?is)^.*"), T.label_pattern(a, "ranker"), F.lit("(.*).$"))
+    found = F.flatten(F.transform(F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: a != ""), lambda a: F.regexp_extract_all(before, pattern(a), F.lit(1))))
+    return F.when((at > 0) & (F.col("value") != ""), found).otherwise(F.array().cast("array<string>"))
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("features", T.MapType(T.StringType(), T.DoubleType()))])
-    return rows.mapInArrow(run, schema)
+
+def with_features(rows: DataFrame) -> DataFrame:
+    """Candidates (field, kind, aliases, value, source_line, confidence, reason) with a `features` map of name and number."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    clean = rows.withColumns({c: text(c) for c in ("value", "source_line", "reason", "field")}).withColumn("_gaps", _label_gaps())
+    value, line, kind = F.col("value"), F.col("source_line"), F.coalesce("kind", F.lit("text"))
+    far = lambda g: F.length(F.regexp_replace(g, r"(?U)^\s+|\s+$", ""))
+    bare = lambda c: F.replace(T.key(c), F.lit(" "), F.lit(""))
+    digit, identifier, percent = value.rlike(r"(?U)\d"), F.col("field").isin(*IDENTIFIERS), F.contains(value, F.lit("%"))
+    dollar = F.contains(value, F.lit("$"))
+    flags = {
+        "immediate_after_field_alias": F.exists("_gaps", lambda g: far(g) <= _AT_ONCE), "labels_between_alias_and_value": F.exists("_gaps", lambda g: g.rlike(r"\b[A-Za-z][A-Za-z0-9 ]{2,35}\s*:")),
+        "near_requested_label": F.contains("reason", F.lit("near requested label")), "label_context": F.contains("reason", F.lit("label/context")), "line_has_field_name": F.contains(bare("source_line"), bare("field")),
+        "has_currency": dollar, "money_type_without_currency": kind.isin("money", "number") & ~dollar & ~percent, "identifier_text_has_digit": identifier & digit, "identifier_text_without_digit": identifier & ~digit,
+        "has_percent": percent, "type_percent_match": (kind == "percent") & percent, "iso_date_value": value.rlike(r"^\s*\d{4}[-/]\d{1,2}[-/]\d{1,2}\s*$"), "line_is_table_like": F.length(F.regexp_replace(line, r"[^|]", "")) >= 2,
+    }
+    numbers = {
+        "bias": F.lit(1.0), "candidate_confidence": F.coalesce("confidence", F.lit(0.0)),
+        "value_near_field_alias": F.coalesce(F.array_max(F.transform("_gaps", lambda g: 1.0 / (_FAR + far(g)))), F.lit(0.0)),
+    } | {k: f.cast("double") for k, f in flags.items()}
+    features = F.create_map(*[x for k, c in numbers.items() for x in (F.lit(k), c)])
+    return clean.withColumn("features", features).drop("_gaps")
 
 
 def scored(rows: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
