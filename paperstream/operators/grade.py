@@ -137,3 +137,58 @@ def leaks(texts: DataFrame, rules: list[tuple[str, str]], path: str = "path", te
     lines = texts.select(path, F.posexplode(F.split(text, r"\r\n|\n")).alias("i", "line"))
     hits = F.explode(F.array_compact(F.array(*[F.when(F.col("line").rlike(p), n) for n, p in rules]))).alias("rule")
     return lines.select(path, hits, (F.col("i") + 1).alias("line_no"))
+
+
+# What the fallback of image lanes looks at.
+FALLBACK_ENGINES = ("tesseract", "rapidocr", "local_image_best")
+HARD_VARIANTS = ("rotated", "noisy_scan", "blurred", "small_text", "low_contrast")
+FIELD_VARIANTS = ("rotated", "noisy_scan", "blurred", "small_text")
+HIGH_VALUE_FIELDS = ("amount_due", "balance_due", "subtotal", "total", "invoice_number", "po_number", "account_number", "net_amount")
+GRAVE_BUCKETS = ("field_not_found", "numeric_candidate_wrong", "text_candidate_wrong")
+FALLBACK_SCORE = 75
+
+
+def _lower(c: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(c, F.lit(""))))
+
+
+def high_value_failures(fields: Column) -> Column:
+    """Of array<struct<field, matched, failure_bucket>> the fields that failed and are of high value or failed gravely."""
+    grave = lambda f: _lower(f["field"]).isin(*HIGH_VALUE_FIELDS) | F.coalesce(F.trim(f["failure_bucket"]).isin(*GRAVE_BUCKETS), F.lit(False))
+    return F.filter(F.coalesce(fields, F.array().cast("array<struct<field:string,matched:boolean,failure_bucket:string>>")), lambda f: ~F.coalesce(f["matched"], F.lit(False)) & grave(f))
+
+
+def fallback_escalation(score: Column, fields: Column, variant: Column, engine: Column, least: int = FALLBACK_SCORE) -> Column:
+    """struct(escalate, reason): whether an image attempt goes on to preprocessing. The score is held against ground truth, so this is for benchmarks only."""
+    s, lane, kind, failed = F.coalesce(score.cast("int"), F.lit(0)), _lower(engine), _lower(variant), high_value_failures(fields)
+    names = F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(failed, lambda f: _lower(f["field"])), lambda n: n != ""))), ",")
+    reason = (
+        F.when(~lane.isin(*FALLBACK_ENGINES), "engine_not_escalatable").when(~kind.isin(*HARD_VARIANTS), "variant_not_hard_image").when(s < least, F.concat(F.lit("score_below_threshold:"), s.cast("string")))
+        .when((F.size(failed) > 0) & kind.isin(*FIELD_VARIANTS), F.concat(F.lit("high_value_field_failure:"), names)).otherwise("score_and_fields_acceptable")
+    )
+    return F.struct(reason.rlike("^(score_below|high_value)").alias("escalate"), reason.alias("reason"))
+
+
+def run_counts(results: DataFrame, ok: Column) -> DataFrame:
+    """One row (total, passed, failed); an unknown outcome failed."""
+    return results.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce(ok, F.lit(False))).alias("passed"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("failed"))
+
+
+def mean_of_runs(runs: DataFrame) -> DataFrame:
+    """One row (runs, score_avg): the mean of whole run averages, each run with equal weight; 0 without any."""
+    return runs.agg(F.count(F.lit(1)).alias("runs"), F.coalesce(F.bround(F.avg(F.coalesce("score_avg", F.lit(0))), 0), F.lit(0)).cast("int").alias("score_avg"))
+
+
+#: Runs a queue has at least.
+LEAST_RUNS = 3
+
+
+def queue_errors(runs: DataFrame) -> DataFrame:
+    """(run, error) of a queue of runs (position from 1, id, run_dir, broad_variants, focus_variants, include_heavy): too few runs, and missing or repeated parts."""
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    by = Window.partitionBy(text("id")).orderBy("position")
+    name = F.when(text("id") == "", F.col("position").cast("string")).otherwise(text("id"))
+    checks = {"missing_id": text("id") == "", "duplicate_run": F.row_number().over(by) > 1, "missing_run_dir": text("run_dir") == "", "missing_broad_variants": text("broad_variants") == "", "missing_focus_variants": F.coalesce("include_heavy", F.lit(True)) & (text("focus_variants") == "")}
+    flagged = runs.select("position", name.alias("run"), F.array_compact(F.array(*[F.when(test, error) for error, test in checks.items()])).alias("errors"))
+    few = runs.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < LEAST_RUNS).select(F.lit("").alias("run"), F.lit("too_few_runs").alias("error"))
+    return flagged.select("run", F.explode("errors").alias("error")).unionByName(few)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperstream.functions import patterns as P
@@ -93,3 +93,45 @@ def accuracy(ranked: DataFrame, keys: list[str], expected: str = "expected_norm"
     return per.where("possible = 1").agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum("hit"), F.lit(0)).alias("correct"), F.round(F.coalesce(F.avg("hit"), F.lit(0.0)), 4).alias("accuracy"))
 
 
+
+
+def positive_index(norms: Column, expected: Column) -> Column:
+    """The first place, from 0, of the right value among ranked normalised values; -1 if it isn't among them or unknown."""
+    clean = F.transform(F.coalesce(norms, F.array().cast("array<string>")), lambda n: F.coalesce(n, F.lit("")))
+    return F.coalesce(F.array_position(clean, expected).cast("int"), F.lit(0)) - 1
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def save_model(spark: SparkSession, weights: dict[str, float], path: str, training: dict | None = None) -> None:
+    """Writes a model - a JSON object with its weights, sorted by name, and facts of its training - to any file system."""
+    import json
+
+    files, at = _hadoop(spark, path)
+    out = files.create(at, True)
+    out.write(bytearray(json.dumps({"model_type": "linear", "weights": dict(sorted(weights.items())), "training": training or {}}, indent=2).encode()))
+    out.close()
+
+
+def load_model(spark: SparkSession, path: str) -> dict[str, float]:
+    """The weights of a saved model. A file that isn't there or holds no weights is an error."""
+    import json
+
+    rows = spark.read.text(path, wholetext=True).collect()  # one small file
+    weights = json.loads(rows[0][0]).get("weights") if rows else None
+    if not isinstance(weights, dict):
+        raise ValueError(f"{path} holds no model")
+    return {k: float(v) for k, v in weights.items()}
+
+
+#: The session setting that names the model in use.
+MODEL_SETTING = "spark.paperstream.ranker.model"
+
+
+def configured_model(spark: SparkSession) -> dict[str, float] | None:
+    """The weights of the model the session's MODEL_SETTING names; None where it is unset."""
+    path = spark.conf.get(MODEL_SETTING, None)
+    return load_model(spark, path) if path else None

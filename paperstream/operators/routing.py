@@ -133,6 +133,49 @@ def latency_parts(attempts: DataFrame, by: str = "doc_id") -> DataFrame:
     return rows.groupBy(by).agg(part(F.col("_first")).alias("primary_ms"), part(~F.col("_first")).alias("fallback_ms"), part(F.lit(True)).alias("total_ms"))
 
 
+# The parts of a time that are measured; what is left of the total is residual.
+MEASURED = ("model_load_overhead_ms", "preprocessing_overhead_ms", "ocr_engine_time_ms", "fallback_or_chaining_overhead_ms")
+CHAINING, RESIDUAL = MEASURED[3], "residual_overhead_ms"
+
+
+def _hundredths(ms: Column) -> Column:
+    """Milliseconds as whole hundredths, so that sums don't depend on order; negative and unreadable ones are 0."""
+    return F.round(F.greatest(F.coalesce(F.when(F.isnan(ms), None).otherwise(ms), F.lit(0.0)), F.lit(0.0)) * 100).cast("long")
+
+
+def latency_total(breakdown: Column) -> Column:
+    """The sum of a breakdown's five parts."""
+    return sum((_hundredths(breakdown[p]) for p in (*MEASURED, RESIDUAL)), F.lit(0)) / 100.0
+
+
+def merged_latency(rows: DataFrame, by: list[str], breakdown: str = "latency_breakdown") -> DataFrame:
+    """(by, the five parts): breakdowns summed part by part."""
+    return rows.groupBy(*by).agg(*[(F.sum(_hundredths(F.col(f"{breakdown}.{p}"))) / 100.0).alias(p) for p in (*MEASURED, RESIDUAL)])
+
+
+def route_latency(attempts: DataFrame, totals: DataFrame | None = None, by: str = "doc_id") -> DataFrame:
+    """(by, the five parts) of each document's route; attempts: cand_seq, role, latency_ms, latency_breakdown (a struct of the five parts).
+
+    The first primary attempt is taken apart, what it took beyond its parts is chaining; of every other attempt all of
+    its time is chaining - its parts' sum where it has no time. Residual is what `totals` (by, total_ms; without it the sum
+    of all times) has beyond that, and never negative.
+    """
+    primary = F.lower(F.trim(F.coalesce("role", F.lit("")))) == "primary"
+    first = Window.partitionBy(by, primary).orderBy("cand_seq")
+    parts = {p: _hundredths(F.col(f"latency_breakdown.{p}")) for p in (*MEASURED, RESIDUAL)}
+    ms = _hundredths(F.col("latency_ms"))
+    rows = attempts.withColumn("_main", primary & (F.row_number().over(first) == 1)).withColumns({"_ms": ms, **{f"_{p}": c for p, c in parts.items()}})
+    known = sum((F.col(f"_{p}") for p in MEASURED), F.lit(0))
+    every = known + F.col(f"_{RESIDUAL}")
+    chaining = F.when(F.col("_main"), F.col(f"_{CHAINING}") + F.greatest(F.lit(0), F.col("_ms") - known)).otherwise(F.when(F.col("_ms") > 0, F.col("_ms")).otherwise(every))
+    sums = [F.sum(F.when(F.col("_main"), F.col(f"_{p}")).otherwise(0)).alias(p) for p in MEASURED[:3]]
+    out = rows.groupBy(by).agg(*sums, F.sum(chaining).alias(CHAINING), F.sum("_ms").alias("_whole"))
+    if totals is not None:
+        out = out.join(totals.select(by, _hundredths(F.col("total_ms")).alias("_given")), by, "left").withColumn("_whole", F.coalesce("_given", F.lit(0)))
+    left = F.greatest(F.lit(0), F.col("_whole") - sum((F.col(p) for p in MEASURED), F.lit(0)))
+    return out.withColumn(RESIDUAL, left).select(by, *[(F.col(p) / 100.0).alias(p) for p in (*MEASURED, RESIDUAL)])
+
+
 # --- what a goal asks for, and what a text is
 
 # Words and phrases of goals.

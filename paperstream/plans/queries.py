@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperstream.functions import quality as Q
@@ -185,8 +185,7 @@ def case_table_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def expanded_manifest(spark: SparkSession, d: str) -> DataFrame:
-    variants = [("baseline", "Baseline document"), ("dense", "Dense layout"), ("rotated", "Rotated scan target"), ("noisy", "Noisy scan target"), ("small_text", "Small text target"), ("table_first", "Table-first target")]
-    return truth.expanded(table(spark, d, "manifest_cases"), variants).select("id", "label", "source_case_id", "release_variant", "ordinal", F.size("required_tokens").alias("n_tokens"), "sample_text")
+    return truth.expanded(table(spark, d, "manifest_cases"), VARIANTS).select("id", "label", "source_case_id", "release_variant", "ordinal", F.size("required_tokens").alias("n_tokens"), "sample_text")
 
 
 def _attempt_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -285,10 +284,71 @@ def artifact_texts(spark: SparkSession, d: str) -> DataFrame:
     return files.artifact_text(pages.select("doc_id", "page_no", "artifact_path"), kept).select("doc_id", "page_no", F.length("text").alias("n_chars"))
 
 
+def fallback_escalations(spark: SparkSession, d: str) -> DataFrame:
+    """Attempts at documents with a case, by their own quality score: which go on to preprocessing. Labels of hard variants are brought to the lanes' names."""
+    a = table(spark, d, "candidates").select(F.col("doc_id").try_cast("long").alias("doc_id"), "cand_seq", "engine", F.floor(F.col("quality.score") * 100).alias("score")).distinct()
+    of = table(spark, d, "documents").select("doc_id", F.col("case_id").alias("id")).join(table(spark, d, "manifest_cases").select("id", "release_variant"), "id")
+    variant = F.when(F.col("release_variant") == "noisy", "noisy_scan").otherwise(F.col("release_variant"))
+    e = grade.fallback_escalation(F.col("score"), F.lit(None).cast("array<struct<field:string,matched:boolean,failure_bucket:string>>"), variant, F.col("engine"))
+    return a.join(of, "doc_id").select("doc_id", "cand_seq", e.alias("e")).select("doc_id", "cand_seq", "e.*")
+
+
+def route_latencies(spark: SparkSession, d: str) -> DataFrame:
+    """The five parts of each document's time: the first attempt is the primary one; reading without preprocessing is all the engine's time, else a tenth is preprocessing."""
+    a = table(spark, d, "candidates").select("doc_id", "cand_seq", "preprocess", "latency_ms").distinct()
+    ms, direct = F.col("latency_ms"), F.coalesce(F.col("preprocess") == "direct", F.lit(True))
+    shares = {"preprocessing_overhead_ms": F.when(direct, 0.0).otherwise(ms * 0.1), "ocr_engine_time_ms": F.when(direct, ms).otherwise(ms * 0.8)}
+    parts = F.struct(*[shares.get(p, F.lit(0.0)).alias(p) for p in (*routing.MEASURED, routing.RESIDUAL)])
+    a = a.select("doc_id", "cand_seq", F.when(F.col("cand_seq") == 0, "primary").otherwise("fallback").alias("role"), "latency_ms", parts.alias("latency_breakdown"))
+    return routing.route_latency(a)
+
+
+def merged_latencies(spark: SparkSession, d: str) -> DataFrame:
+    """Breakdowns summed by engine."""
+    a = table(spark, d, "candidates").select("doc_id", "cand_seq", F.lower(F.trim("engine")).alias("engine"), "latency_ms").distinct()
+    zero = [F.lit(0.0).alias(p) for p in ("model_load_overhead_ms", "preprocessing_overhead_ms")]
+    parts = F.struct(*zero, F.col("latency_ms").alias("ocr_engine_time_ms"), F.when(F.col("cand_seq") > 0, F.col("latency_ms")).otherwise(0.0).alias("fallback_or_chaining_overhead_ms"), F.lit(0.0).alias("residual_overhead_ms"))
+    return routing.merged_latency(a.withColumn("latency_breakdown", parts), ["engine"])
+
+
+VARIANTS = [("baseline", "Baseline document"), ("dense", "Dense layout"), ("rotated", "Rotated scan target"), ("noisy", "Noisy scan target"), ("small_text", "Small text target"), ("table_first", "Table-first target")]
+
+
+def selected_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Of the expanded manifest all variants of one case, and one variant of another."""
+    ids = ["annual_dividend_broad", "approved_supplier_broad_noisy"]
+    return truth.selected_cases(truth.expanded(table(spark, d, "manifest_cases"), VARIANTS), ids).select("id", "source_case_id", "ordinal")
+
+
+def positive_indexes(spark: SparkSession, d: str) -> DataFrame:
+    """Where, among the ranked values of a receipt's field, the receipt's own value stands."""
+    rows = table(spark, d, "field_candidates").select("doc_id", "field", "value", "normalized_value", "line_index", "confidence", "gen_seq").distinct()
+    norms = fields.ranked(rows, ["doc_id"]).groupBy("doc_id", "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("normalized_value", F.lit("")).alias("norm")))), lambda x: x["norm"]).alias("norms"))
+    want = table(spark, d, "receipt_cases").where(F.col("expected.total").isNotNull()).groupBy(F.col("id").alias("doc_id")).agg(F.min("expected.total").alias("expected"))
+    return norms.where("field = 'total'").join(want, "doc_id").select("doc_id", ranker.positive_index(F.col("norms"), F.col("expected")).alias("positive_index"))
+
+
+def attempt_counts(spark: SparkSession, d: str) -> DataFrame:
+    return grade.run_counts(table(spark, d, "candidates").select("doc_id", "cand_seq", "ok").distinct(), F.col("ok"))
+
+
+def run_means(spark: SparkSession, d: str) -> DataFrame:
+    """The mean of the engines' whole score averages."""
+    return grade.mean_of_runs(step_summary(spark, d))
+
+
+def queue_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest as a queue: cases as runs, their label as folder, their variant as variants, heavy where rows of a table are expected."""
+    m = table(spark, d, "manifest_cases")
+    runs = m.select(F.dense_rank().over(Window.orderBy("id")).alias("position"), "id", F.col("label").alias("run_dir"), F.col("release_variant").alias("broad_variants"), F.col("category").alias("focus_variants"), (F.col("expected_table_rows") > 0).alias("include_heavy"))
+    return grade.queue_errors(runs)
+
+
 QUERIES: tuple[Query, ...] = (
     order_accuracy, value_keys, number_texts, date_texts, consensus_keys, text_quality, text_counts, tool_quality, recovered_tables, text_blocks, merged_tables, ranked_candidates, document_fields, learned_ranking,
     field_consensus, receipt_fields, receipt_scores, line_votes, rescored_attempts, best_attempts, routed_attempts, canonical_results, content_classes, markdown_layouts, latency_parts, engine_chains, case_scores, field_accuracy, failure_records, token_recall, case_table_rows,
     expanded_manifest, step_summary, release_grade, engine_comparison, audit_reasons, weakest_cases, escalations, duplicate_ids, leak_scan, lane_slo, lane_readiness, lane_trailing, streaming_slo, source_drift, unread_documents, artifact_texts,
+    fallback_escalations, route_latencies, merged_latencies, selected_cases, positive_indexes, attempt_counts, run_means, queue_errors,
 )
 
 

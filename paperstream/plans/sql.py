@@ -350,8 +350,81 @@ SELECT content_class, count(*) AS n FROM k GROUP BY 1
 UNREAD_DOCUMENTS = "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT try_cast(doc_id AS BIGINT) FROM candidates WHERE try_cast(doc_id AS BIGINT) IS NOT NULL)"
 ARTIFACT_TEXTS = "WITH p AS (SELECT DISTINCT * FROM scan_pages) SELECT r.doc_id, r.page_no, length(coalesce(a.extracted_text, '')) AS n_chars FROM p r LEFT JOIN p a ON r.artifact_path = a.artifact_path"
 
+FALLBACK_ESCALATIONS = """
+WITH a AS (
+    SELECT DISTINCT try_cast(doc_id AS BIGINT) AS doc_id, cand_seq, lower(trim(coalesce(engine, ''))) AS engine, coalesce(CAST(floor(quality.score * 100) AS INT), 0) AS score FROM candidates
+), v AS (
+    SELECT d.doc_id, CASE WHEN m.release_variant = 'noisy' THEN 'noisy_scan' ELSE coalesce(m.release_variant, '') END AS variant FROM documents d JOIN manifest_cases m ON d.case_id = m.id
+), r AS (
+    SELECT a.doc_id, cand_seq, CASE WHEN engine NOT IN ('tesseract', 'rapidocr', 'local_image_best') THEN 'engine_not_escalatable'
+        WHEN variant NOT IN ('rotated', 'noisy_scan', 'blurred', 'small_text', 'low_contrast') THEN 'variant_not_hard_image' WHEN score < 75 THEN 'score_below_threshold:' || score ELSE 'score_and_fields_acceptable' END AS reason
+    FROM a JOIN v ON a.doc_id = v.doc_id
+)
+SELECT doc_id, cand_seq, starts_with(reason, 'score_below') AS escalate, reason FROM r
+"""
+_H = "CAST(round(greatest(coalesce(CASE WHEN isnan({0}) THEN NULL ELSE {0} END, 0.0), 0.0) * 100) AS BIGINT)"
+ROUTE_LATENCIES = f"""
+WITH a AS (
+    SELECT DISTINCT doc_id, cand_seq, coalesce(preprocess = 'direct', true) AS direct, latency_ms AS ms FROM candidates
+), p AS (
+    SELECT *, {_H.format("ms")} AS whole, CASE WHEN direct THEN 0 ELSE {_H.format("(ms * 0.1::DOUBLE)")} END AS pre, CASE WHEN direct THEN {_H.format("ms")} ELSE {_H.format("(ms * 0.8::DOUBLE)")} END AS eng FROM a
+), s AS (
+    SELECT doc_id, sum(CASE WHEN cand_seq = 0 THEN pre ELSE 0 END) AS pre, sum(CASE WHEN cand_seq = 0 THEN eng ELSE 0 END) AS eng,
+        sum(CASE WHEN cand_seq = 0 THEN greatest(0, whole - pre - eng) WHEN whole > 0 THEN whole ELSE pre + eng END) AS chain, sum(whole) AS whole
+    FROM p GROUP BY 1
+)
+SELECT doc_id, 0.0::DOUBLE AS model_load_overhead_ms, pre / 100.0::DOUBLE AS preprocessing_overhead_ms, eng / 100.0::DOUBLE AS ocr_engine_time_ms, chain / 100.0::DOUBLE AS fallback_or_chaining_overhead_ms,
+    greatest(0, whole - pre - eng - chain) / 100.0::DOUBLE AS residual_overhead_ms
+FROM s
+"""
+MERGED_LATENCIES = f"""
+WITH a AS (
+    SELECT DISTINCT doc_id, cand_seq, lower(trim(engine)) AS engine, latency_ms AS ms FROM candidates
+)
+SELECT engine, 0.0::DOUBLE AS model_load_overhead_ms, 0.0::DOUBLE AS preprocessing_overhead_ms, sum({_H.format("ms")}) / 100.0::DOUBLE AS ocr_engine_time_ms,
+    sum(CASE WHEN cand_seq > 0 THEN {_H.format("ms")} ELSE 0 END) / 100.0::DOUBLE AS fallback_or_chaining_overhead_ms, 0.0::DOUBLE AS residual_overhead_ms
+FROM a GROUP BY 1
+"""
+SELECTED_CASES = f"SELECT id, source_case_id, ordinal FROM ({EXPANDED_MANIFEST}) WHERE 'annual_dividend_broad' IN (id, source_case_id) OR 'approved_supplier_broad_noisy' IN (id, source_case_id)"
+POSITIVE_INDEXES = f"""
+WITH {RANKED_CANDIDATES.strip().removeprefix("WITH").rpartition("SELECT")[0]}
+, k AS (
+    SELECT doc_id, list(coalesce(normalized_value, '') ORDER BY rank) AS norms FROM r WHERE rank <= 8 AND field = 'total' GROUP BY 1
+), w AS (
+    SELECT id AS doc_id, min(expected.total) AS expected FROM receipt_cases WHERE expected.total IS NOT NULL GROUP BY 1
+)
+SELECT doc_id, CAST(coalesce(list_position(norms, expected), 0) - 1 AS INT) AS positive_index FROM k JOIN w USING (doc_id)
+"""
+ATTEMPT_COUNTS = "SELECT count(*) AS total, count_if(coalesce(ok, false)) AS passed, count_if(NOT coalesce(ok, false)) AS failed FROM (SELECT DISTINCT doc_id, cand_seq, ok FROM candidates)"
+RUN_MEANS = f"SELECT count(*) AS runs, CAST(coalesce(round_even(avg(coalesce(score_avg, 0)), 0), 0) AS INT) AS score_avg FROM ({STEP_SUMMARY})"
+QUEUE_ERRORS = """
+WITH q AS (
+    SELECT row_number() OVER (ORDER BY id) AS n, trim(coalesce(id, '')) AS k, trim(coalesce(label, '')) AS dir, trim(coalesce(release_variant, '')) AS broad, trim(coalesce(category, '')) AS focus, coalesce(expected_table_rows > 0, true) AS heavy FROM manifest_cases
+), x AS (
+    SELECT CASE WHEN k = '' THEN n::VARCHAR ELSE k END AS run, k, row_number() OVER (PARTITION BY k ORDER BY n) AS nth, dir, broad, focus, heavy FROM q
+)
+SELECT run, 'missing_id' AS error FROM x WHERE k = '' UNION ALL SELECT run, 'duplicate_run' FROM x WHERE nth > 1 UNION ALL SELECT run, 'missing_run_dir' FROM x WHERE dir = ''
+UNION ALL SELECT run, 'missing_broad_variants' FROM x WHERE broad = '' UNION ALL SELECT run, 'missing_focus_variants' FROM x WHERE heavy AND focus = ''
+UNION ALL SELECT '', 'too_few_runs' FROM (SELECT count(*) AS c FROM q) WHERE c < 3
+"""
+CASE_TABLE_ROWS = rf"""
+WITH l AS (
+    SELECT doc_id, expected_table_rows, unnest(CASE WHEN len(ls) = 0 THEN [NULL] ELSE ls END) AS x FROM (SELECT doc_id, expected_table_rows, {_lines("text")} AS ls FROM {_CASES})
+), m AS (
+    -- a stroke between blanks is a bar; twice, as two of them may share a blank
+    SELECT *, regexp_replace(regexp_replace(x, '([\s\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{3000}}])[1ilI|]([\s\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{3000}}])', '\1|\2', 'g'), '([\s\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{3000}}])[1ilI|]([\s\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{3000}}])', '\1|\2', 'g') AS y FROM l
+), n AS (
+    SELECT doc_id, expected_table_rows, CASE WHEN x IS NULL THEN 0
+        WHEN {_PIPES.format("x")} >= 2 THEN CASE WHEN regexp_matches(x, '\|\s*-+\s*\|') THEN 0 ELSE greatest(1, {_PIPES.format("x")} // 3) END
+        WHEN {_PIPES.format("y")} >= 3 THEN greatest(1, {_PIPES.format("y")} // 3)
+        WHEN contains(x, chr(9)) THEN 1 WHEN regexp_matches(x, '^[A-Z][A-Za-z &/()]{{2,35}}(\s*:\s*|\s{{2,}})\$?-?[\d,]+(\.\d+)?(\s|$)') THEN 1 ELSE 0 END AS c
+    FROM m
+)
+SELECT doc_id, expected_table_rows, CAST(sum(c) AS INT) AS actual_table_rows FROM n GROUP BY ALL
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     here = globals()
-    names = ("order_accuracy", "value_keys", "number_texts", "date_texts", "consensus_keys", "text_quality", "engine_comparison", "content_classes", "text_counts", "recovered_tables", "text_blocks", "ranked_candidates", "line_votes", "best_attempts", "routed_attempts", "latency_parts", "engine_chains", "token_recall", "expanded_manifest", "step_summary", "release_grade", "duplicate_ids", "leak_scan", "lane_slo", "lane_readiness", "lane_trailing", "streaming_slo", "source_drift", "unread_documents", "artifact_texts")
+    names = ("order_accuracy", "value_keys", "number_texts", "date_texts", "consensus_keys", "text_quality", "engine_comparison", "content_classes", "text_counts", "recovered_tables", "text_blocks", "ranked_candidates", "line_votes", "best_attempts", "routed_attempts", "latency_parts", "engine_chains", "token_recall", "expanded_manifest", "step_summary", "release_grade", "duplicate_ids", "leak_scan", "lane_slo", "lane_readiness", "lane_trailing", "streaming_slo", "source_drift", "unread_documents", "artifact_texts", "fallback_escalations", "route_latencies", "merged_latencies", "selected_cases", "positive_indexes", "attempt_counts", "run_means", "queue_errors", "case_table_rows")
     return {n: here[n.upper()] for n in names}
