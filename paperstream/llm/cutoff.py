@@ -39,7 +39,7 @@ WIDTHS = (1, 12)
 #: A significant length holds at least so many values, and at least so many times the expected number.
 LEAST_COUNT, LEAST_RATIO = 5, 4.0
 #: Shapes of last lines: a whole line of this shape, not continued by the next one, within this part of all values (INNER_LEAST at least), or this part of all ends (END_LEAST), make it a natural end.
-INNER_SHARE, INNER_LEAST, END_SHARE, END_LEAST = 2e-5, 2, 5e-4, 5
+INNER_SHARE, INNER_LEAST, END_SHARE, END_LEAST = 1e-5, 2, 5e-4, 5
 #: Hot shapes are spread over so many tasks.
 SALTS = 16
 #: A cut mark is shorter than this.
