@@ -13,6 +13,7 @@ from paperstream.operators import consensus, fields, grade, ranker, routing, slo
 from paperstream.plans import render
 from paperstream.sources import files
 from paperstream.sources.tables import table, texts
+from paperstream.session import shared_folder
 from paperstream.streaming import lanes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,12 +38,12 @@ def value_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def number_texts(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "field_candidates").where("field in ('total', 'subtotal', 'tax', 'net_pay', 'amount_due')").select("value").where("value is not null").distinct()
+    v = table(spark, d, "field_candidates").select("value").where("value is not null").distinct()
     return v.select("value", T.number_text("value").alias("number_text"))
 
 
 def date_texts(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "field_candidates").where("field in ('date', 'due_date')").select("value").where("value is not null").distinct()
+    v = table(spark, d, "field_candidates").select("value").where("value is not null").distinct()
     return v.select("value", T.date_text("value").alias("date_text"), T.receipt_date("value").alias("receipt_date"), F.size(T.receipt_date_variants("value")).alias("n_forms"))
 
 
@@ -259,11 +260,8 @@ def streaming_slo(spark: SparkSession, d: str) -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
     events = spark.readStream.schema(schema).parquet(path if folder else f"{path}*")  # a stream reads folders or patterns
-    name = f"slo_{uuid.uuid4().hex}"
     e = events.select(F.lower(F.trim("engine")).alias("engine"), F.col("ts").cast("timestamp").alias("ts"), F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce(F.nanvl("latency_ms", F.lit(0.0)), F.lit(0.0)).alias("latency_ms"), F.coalesce("fallback_used", F.lit(False)).alias("fallback_used"), F.coalesce("timed_out", F.lit(False)).alias("timed_out"))
-    q = lanes.streaming_slo(e, slide=None).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    return lanes.run_to_end(lanes.streaming_slo(e, slide=None), f"{shared_folder(spark).rstrip('/')}/paperstream/slo-{uuid.uuid4().hex}")
 
 
 def source_drift(spark: SparkSession, d: str) -> DataFrame:

@@ -56,7 +56,7 @@ FROM field_candidates WHERE value IS NOT NULL
 
 NUMBER_TEXTS = r"""
 WITH v AS (
-    SELECT DISTINCT value FROM field_candidates WHERE field IN ('total', 'subtotal', 'tax', 'net_pay', 'amount_due') AND value IS NOT NULL
+    SELECT DISTINCT value FROM field_candidates WHERE value IS NOT NULL
 ), t AS (
     SELECT value, regexp_extract(trim(value), '(?i)(?:\$|USD|RM|MYR)?\s*\(?-?\d[\d,\s<]*(?:[.\-]\d{1,4})?%?\)?', 0) AS tok FROM v
 ), r AS (
@@ -274,7 +274,7 @@ _FIRST, _LAST = r"(\d{1,2})\s*[/-]\s*(\d{1,2})\s*[/-]?\s*((?:20)?\d{2,4})", r"(\
 DATE_TEXTS = rf"""
 WITH v AS (
     SELECT DISTINCT value, trim(value) AS raw, translate(trim(value), 'OoIl|', '00111') AS clean, translate(trim(value), 'OoQDIl|SsBeZz', '0000111558222') AS r
-    FROM field_candidates WHERE field IN ('date', 'due_date') AND value IS NOT NULL
+    FROM field_candidates WHERE value IS NOT NULL
 ), p AS (
     SELECT *, regexp_extract(clean, '\b((?:19|20)\d{{2}})[-/.](\d{{1,2}})[-/.](\d{{1,2}})\b', ['y', 'm', 'd']) AS i, regexp_extract(clean, '\b(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}|\d{{2}})\b', ['a', 'b', 'y']) AS u,
         regexp_matches(r, '{_FIRST}') AS f, regexp_extract(r, '{_FIRST}', ['d', 'm', 'y']) AS x, regexp_extract(r, '{_LAST}', ['y', 'm', 'd']) AS z FROM v

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 import paperstream
 from pyspark.sql import SparkSession
@@ -29,6 +32,22 @@ def local_session(cpus: int = 8, *, app: str = "paperstream", **conf: str) -> Sp
     return on_workers(spark)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share. The cluster names it in spark.checkpoint.dir; only where that is unset and all runs on this machine (tests) one is made."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    set_by_code = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_by_code.isDefined():
+        return set_by_code.get()
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="paperstream-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def on_workers(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package from where the driver has it, whatever their working folder."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(paperstream.__file__)))

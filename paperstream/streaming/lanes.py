@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -79,3 +80,19 @@ def batch_drift(rows: DataFrame, key: str, text: str, at: str) -> DataFrame:
 def remaining(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Work not yet done: the resume step of a run."""
     return work.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def run_to_end(aggregated: DataFrame, folder: str) -> DataFrame:
+    """The table a streaming aggregate ends with when all input there is has been read. Each batch's whole result is written to `folder`, a shared one, where the checkpoint is too; nothing passes through the driver."""
+    table, empty = f"{folder}/result", aggregated.schema
+
+    def write(result: DataFrame, _: int) -> None:
+        result.write.mode("overwrite").parquet(table)
+
+    query = aggregated.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark = aggregated.sparkSession
+    try:
+        return spark.read.schema(empty).parquet(table)
+    except AnalysisException:  # no batch: the input is empty
+        return spark.createDataFrame([], empty)
