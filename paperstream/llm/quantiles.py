@@ -20,10 +20,10 @@ PERCENTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
 def value_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """The mergeable state: (groups, value, cnt). Null, NaN, infinite, zero and negative values are no measurements and are left out."""
+    """The mergeable state: (groups, value, cnt). Null, NaN and infinite values have no place among others and are left out; negative zero is zero."""
     v = F.col(value).cast("double")
-    good = v.isNotNull() & ~F.isnan(v) & (v > 0) & (v < float("inf"))
-    return df.where(good).groupBy(*groups, v.alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
+    good = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    return df.where(good).groupBy(*groups, (v + 0.0).alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def merge_counts(parts: DataFrame, groups: list[str]) -> DataFrame:
@@ -60,11 +60,12 @@ def latency_states(events: DataFrame, candidates: DataFrame) -> DataFrame:
     """Daily states of both tables, stored: (tab, engine, route, day, value, cnt); engine names in one case.
 
     A repeated row is one record: events by all read columns with event_seq, candidates with doc_id and cand_seq.
-    Candidates have no route and no day; both are null there.
+    Candidates have no route and no day; both are null there. Times of zero or less are no measurements.
     """
     e = events.select("event_seq", _lane("engine").alias("engine"), _lane("route").alias("route"), F.to_date("ts").alias("day"), "latency_ms").distinct()
     c = candidates.select("doc_id", "cand_seq", _lane("engine").alias("engine"), F.lit(None).cast("string").alias("route"), F.lit(None).cast("date").alias("day"), "latency_ms").distinct()
     keys = ["tab", "engine", "route", "day"]
+    e, c = (x.where("latency_ms > 0") for x in (e, c))
     one = value_counts(e.withColumn("tab", F.lit("lane_events")), keys, "latency_ms")
     two = value_counts(c.withColumn("tab", F.lit("candidates")), keys, "latency_ms")
     return stored(one.unionByName(two), "latency_days")
