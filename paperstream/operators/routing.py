@@ -22,18 +22,26 @@ ENGINES = (
     ("olmocr2", "linearization", 10, ("digital_pdf", "table_dense"), ("linearization", "olmocr")),
 )
 # Engine classes by route and document class, in order.
-_TAIL = ("semantic_cleanup", "compat_fallback")
-_DIGITAL, _SCANNED = ("native_text", "layout", "structure_parser", "linearization", *_TAIL), ("dense_scan", "structure_parser", *_TAIL)
 PLANS = {
     "quality_first": {
-        "forms_or_checkboxes": ("semantic_cleanup", "dense_scan", "compat_fallback"), "chart_or_figure": ("semantic_cleanup", "layout", "compat_fallback"),
-        "digital_pdf": _DIGITAL, "table_dense": _DIGITAL, "scanned_pdf": _SCANNED, "handwritten": _SCANNED, "photo": ("image_router", "semantic_cleanup", "dense_scan", "compat_fallback"),
+        "forms_or_checkboxes": ("semantic_cleanup", "dense_scan", "compat_fallback"),
+        "chart_or_figure": ("semantic_cleanup", "layout", "compat_fallback"),
+        "digital_pdf": ("native_text", "layout", "structure_parser", "linearization", "semantic_cleanup", "compat_fallback"),
+        "table_dense": ("native_text", "layout", "structure_parser", "linearization", "semantic_cleanup", "compat_fallback"),
+        "scanned_pdf": ("dense_scan", "structure_parser", "semantic_cleanup", "compat_fallback"),
+        "handwritten": ("dense_scan", "structure_parser", "semantic_cleanup", "compat_fallback"),
+        "photo": ("image_router", "semantic_cleanup", "dense_scan", "compat_fallback"),
     },
     "balanced": {
-        "forms_or_checkboxes": _TAIL, "chart_or_figure": _TAIL, "digital_pdf": ("native_text", "layout", *_TAIL), "table_dense": ("native_text", "layout", *_TAIL),
-        "scanned_pdf": ("dense_scan", *_TAIL), "handwritten": ("dense_scan", *_TAIL), "photo": ("image_router", *_TAIL),
+        "forms_or_checkboxes": ("semantic_cleanup", "compat_fallback"),
+        "chart_or_figure": ("semantic_cleanup", "compat_fallback"),
+        "digital_pdf": ("native_text", "layout", "semantic_cleanup", "compat_fallback"),
+        "table_dense": ("native_text", "layout", "semantic_cleanup", "compat_fallback"),
+        "scanned_pdf": ("dense_scan", "semantic_cleanup", "compat_fallback"),
+        "handwritten": ("dense_scan", "semantic_cleanup", "compat_fallback"),
+        "photo": ("image_router", "semantic_cleanup", "compat_fallback"),
     },
-}
+}
 # Words of a goal that tell the document's class.
 DENSE_TERMS = ("handwriting", "blurry", "tiny text", "dense scan", "fax", "low quality")
 TABLE_TERMS = ("table", "layout", "statement", "invoice", "form", "multi-column", "earnings")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from paperstream.operators.routing import CONTENT, ENGINES, FINANCE_SIGNS, PLANS
 from paperstream.plans.queries import LEAKS
 
 _WS = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -147,13 +146,102 @@ SELECT doc_id, coalesce(sum(ms) FILTER (WHERE first), 0) / 100.0 AS primary_ms,
 """
 
 
-def _values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
-
-
-ENGINE_CHAINS = f"""
-WITH e(engine, engine_class, priority, doc_class) AS (VALUES {_values([(n, c, p, k) for n, c, p, ks, _ in ENGINES for k in ks])}),
-p(route_mode, doc_class, position, engine_class) AS (VALUES {_values([(m, k, i, c) for m, by in PLANS.items() for k, cs in by.items() for i, c in enumerate(cs)])})
+# Written out, not taken from the operators: a wrong row there must show.
+ENGINE_CHAINS = """
+WITH e(engine, engine_class, priority, doc_class) AS (VALUES
+    ('native_pdf_text', 'native_text', 10, 'digital_pdf'),
+    ('native_pdf_text', 'native_text', 10, 'table_dense'),
+    ('local_image_best', 'image_router', 10, 'photo'),
+    ('local_image_preprocessed_best', 'image_preprocessor', 10, 'photo'),
+    ('local_image_preprocessed_best', 'image_preprocessor', 10, 'scanned_pdf'),
+    ('local_image_preprocessed_best', 'image_preprocessor', 10, 'handwritten'),
+    ('rapidocr', 'compat_fallback', 10, 'digital_pdf'),
+    ('rapidocr', 'compat_fallback', 10, 'table_dense'),
+    ('rapidocr', 'compat_fallback', 10, 'scanned_pdf'),
+    ('rapidocr', 'compat_fallback', 10, 'handwritten'),
+    ('rapidocr', 'compat_fallback', 10, 'chart_or_figure'),
+    ('rapidocr', 'compat_fallback', 10, 'forms_or_checkboxes'),
+    ('rapidocr', 'compat_fallback', 10, 'photo'),
+    ('tesseract', 'compat_fallback', 20, 'digital_pdf'),
+    ('tesseract', 'compat_fallback', 20, 'table_dense'),
+    ('tesseract', 'compat_fallback', 20, 'scanned_pdf'),
+    ('tesseract', 'compat_fallback', 20, 'handwritten'),
+    ('tesseract', 'compat_fallback', 20, 'chart_or_figure'),
+    ('tesseract', 'compat_fallback', 20, 'forms_or_checkboxes'),
+    ('tesseract', 'compat_fallback', 20, 'photo'),
+    ('gb10_qwen_ocr', 'semantic_cleanup', 10, 'digital_pdf'),
+    ('gb10_qwen_ocr', 'semantic_cleanup', 10, 'table_dense'),
+    ('gb10_qwen_ocr', 'semantic_cleanup', 10, 'scanned_pdf'),
+    ('gb10_qwen_ocr', 'semantic_cleanup', 10, 'handwritten'),
+    ('gb10_qwen_ocr', 'semantic_cleanup', 10, 'chart_or_figure'),
+    ('gb10_qwen_ocr', 'semantic_cleanup', 10, 'forms_or_checkboxes'),
+    ('gb10_qwen_ocr', 'semantic_cleanup', 10, 'photo'),
+    ('gb10_got_ocr2', 'dense_scan', 10, 'forms_or_checkboxes'),
+    ('gb10_got_ocr2', 'dense_scan', 10, 'scanned_pdf'),
+    ('gb10_got_ocr2', 'dense_scan', 10, 'handwritten'),
+    ('gb10_got_ocr2', 'dense_scan', 10, 'photo'),
+    ('gb10_paddleocr_vl', 'layout', 10, 'digital_pdf'),
+    ('gb10_paddleocr_vl', 'layout', 10, 'table_dense'),
+    ('gb10_paddleocr_vl', 'layout', 10, 'chart_or_figure'),
+    ('mineru2_5', 'structure_parser', 10, 'digital_pdf'),
+    ('mineru2_5', 'structure_parser', 10, 'table_dense'),
+    ('mineru2_5', 'structure_parser', 10, 'scanned_pdf'),
+    ('mineru2_5', 'structure_parser', 10, 'handwritten'),
+    ('olmocr2', 'linearization', 10, 'digital_pdf'),
+    ('olmocr2', 'linearization', 10, 'table_dense')
+), p(route_mode, doc_class, position, engine_class) AS (VALUES
+    ('quality_first', 'forms_or_checkboxes', 0, 'semantic_cleanup'),
+    ('quality_first', 'forms_or_checkboxes', 1, 'dense_scan'),
+    ('quality_first', 'forms_or_checkboxes', 2, 'compat_fallback'),
+    ('quality_first', 'chart_or_figure', 0, 'semantic_cleanup'),
+    ('quality_first', 'chart_or_figure', 1, 'layout'),
+    ('quality_first', 'chart_or_figure', 2, 'compat_fallback'),
+    ('quality_first', 'digital_pdf', 0, 'native_text'),
+    ('quality_first', 'digital_pdf', 1, 'layout'),
+    ('quality_first', 'digital_pdf', 2, 'structure_parser'),
+    ('quality_first', 'digital_pdf', 3, 'linearization'),
+    ('quality_first', 'digital_pdf', 4, 'semantic_cleanup'),
+    ('quality_first', 'digital_pdf', 5, 'compat_fallback'),
+    ('quality_first', 'table_dense', 0, 'native_text'),
+    ('quality_first', 'table_dense', 1, 'layout'),
+    ('quality_first', 'table_dense', 2, 'structure_parser'),
+    ('quality_first', 'table_dense', 3, 'linearization'),
+    ('quality_first', 'table_dense', 4, 'semantic_cleanup'),
+    ('quality_first', 'table_dense', 5, 'compat_fallback'),
+    ('quality_first', 'scanned_pdf', 0, 'dense_scan'),
+    ('quality_first', 'scanned_pdf', 1, 'structure_parser'),
+    ('quality_first', 'scanned_pdf', 2, 'semantic_cleanup'),
+    ('quality_first', 'scanned_pdf', 3, 'compat_fallback'),
+    ('quality_first', 'handwritten', 0, 'dense_scan'),
+    ('quality_first', 'handwritten', 1, 'structure_parser'),
+    ('quality_first', 'handwritten', 2, 'semantic_cleanup'),
+    ('quality_first', 'handwritten', 3, 'compat_fallback'),
+    ('quality_first', 'photo', 0, 'image_router'),
+    ('quality_first', 'photo', 1, 'semantic_cleanup'),
+    ('quality_first', 'photo', 2, 'dense_scan'),
+    ('quality_first', 'photo', 3, 'compat_fallback'),
+    ('balanced', 'forms_or_checkboxes', 0, 'semantic_cleanup'),
+    ('balanced', 'forms_or_checkboxes', 1, 'compat_fallback'),
+    ('balanced', 'chart_or_figure', 0, 'semantic_cleanup'),
+    ('balanced', 'chart_or_figure', 1, 'compat_fallback'),
+    ('balanced', 'digital_pdf', 0, 'native_text'),
+    ('balanced', 'digital_pdf', 1, 'layout'),
+    ('balanced', 'digital_pdf', 2, 'semantic_cleanup'),
+    ('balanced', 'digital_pdf', 3, 'compat_fallback'),
+    ('balanced', 'table_dense', 0, 'native_text'),
+    ('balanced', 'table_dense', 1, 'layout'),
+    ('balanced', 'table_dense', 2, 'semantic_cleanup'),
+    ('balanced', 'table_dense', 3, 'compat_fallback'),
+    ('balanced', 'scanned_pdf', 0, 'dense_scan'),
+    ('balanced', 'scanned_pdf', 1, 'semantic_cleanup'),
+    ('balanced', 'scanned_pdf', 2, 'compat_fallback'),
+    ('balanced', 'handwritten', 0, 'dense_scan'),
+    ('balanced', 'handwritten', 1, 'semantic_cleanup'),
+    ('balanced', 'handwritten', 2, 'compat_fallback'),
+    ('balanced', 'photo', 0, 'image_router'),
+    ('balanced', 'photo', 1, 'semantic_cleanup'),
+    ('balanced', 'photo', 2, 'compat_fallback')
+)
 SELECT route_mode, doc_class, string_agg(engine, ',' ORDER BY position, priority, engine) AS chain FROM p JOIN e USING (doc_class, engine_class) GROUP BY 1, 2
 """
 
@@ -334,15 +422,27 @@ FROM k
 
 
 _RAW = "lower(trim(coalesce(text, '')))"
-_COUNTS = ", ".join("(" + " + ".join(f"contains(raw, '{t}')::INT" for t in terms) + f") AS {name}" for name, terms in CONTENT)
-_BEST = "greatest(" + ", ".join(n for n, _ in CONTENT) + ")"
+# Written out, not taken from the operators: words by class, and signs of money.
+_CLASS_WORDS = {
+    "banking": ("opening balance", "closing balance", "deposits", "withdrawals", "account number"),
+    "brokerage": ("shares", "market value", "symbol", "portfolio", "unrealized", "cost basis"),
+    "invoice": ("invoice number", "amount due", "purchase order", "line item", "subtotal"),
+    "payroll": ("gross pay", "net pay", "deductions", "pay period", "federal tax", "fica"),
+    "tax": ("taxable income", "adjusted gross", "filing status", "tax due", "refund amount"),
+    "statement": ("previous balance", "new charges", "minimum payment", "payment due date", "statement date"),
+    "loan": ("principal balance", "interest rate", "monthly payment", "remaining term", "origination"),
+    "table_dense": ("| ---", "|---|", "---+---", ":---:", "-----"),
+}
+_MONEY_SIGNS = ("$", "balance", "total", "invoice", "account", "payment")
+_COUNTS = ", ".join("(" + " + ".join(f"contains(raw, '{t}')::INT" for t in terms) + f") AS {name}" for name, terms in _CLASS_WORDS.items())
+_BEST = "greatest(" + ", ".join(_CLASS_WORDS) + ")"
 CONTENT_CLASSES = f"""
 WITH r AS (
     SELECT {_RAW} AS raw FROM documents
 ), c AS (
-    SELECT raw, {_COUNTS}, len(list_filter(string_split(raw, chr(10)), lambda x: length(x) - length(replace(x, '|', '')) >= 3)) AS pipes, {" + ".join(f"contains(raw, '{t}')::INT" for t in FINANCE_SIGNS)} AS signs FROM r
+    SELECT raw, {_COUNTS}, len(list_filter(string_split(raw, chr(10)), lambda x: length(x) - length(replace(x, '|', '')) >= 3)) AS pipes, {" + ".join(f"contains(raw, '{t}')::INT" for t in _MONEY_SIGNS)} AS signs FROM r
 ), k AS (
-    SELECT CASE WHEN length(raw) < 20 THEN 'photo' WHEN pipes >= 4 THEN 'table_dense' WHEN {_BEST} > 0 THEN CASE {" ".join(f"WHEN {n} = {_BEST} THEN '{n}'" for n, _ in CONTENT)} END WHEN signs >= 3 THEN 'table_dense' ELSE 'photo' END AS content_class FROM c
+    SELECT CASE WHEN length(raw) < 20 THEN 'photo' WHEN pipes >= 4 THEN 'table_dense' WHEN {_BEST} > 0 THEN CASE {" ".join(f"WHEN {n} = {_BEST} THEN '{n}'" for n in _CLASS_WORDS)} END WHEN signs >= 3 THEN 'table_dense' ELSE 'photo' END AS content_class FROM c
 )
 SELECT content_class, count(*) AS n FROM k GROUP BY 1
 """
