@@ -523,8 +523,71 @@ WITH l AS (
 SELECT doc_id, expected_table_rows, CAST(sum(c) AS INT) AS actual_table_rows FROM n GROUP BY ALL
 """
 
+CANONICAL_RESULTS = f"""
+WITH once AS (
+    SELECT DISTINCT doc_id, cand_seq, engine, ok, confidence, trim(coalesce(nullif(markdown, ''), text, '')) AS md FROM candidates
+), routed AS ({ROUTED_ATTEMPTS}
+), n AS (
+    SELECT doc_id, count(*) AS n_attempts FROM once GROUP BY 1
+), w AS (
+    SELECT o.*, {_lines("md")} AS ls, lower(md) AS raw FROM once o SEMI JOIN routed r ON o.doc_id = r.doc_id AND o.cand_seq = r.cand_seq
+), c AS (
+    SELECT *, {_COUNTS}, len(list_filter(string_split(raw, chr(10)), lambda x: length(x) - length(replace(x, '|', '')) >= 3)) AS pipes, {" + ".join(f"contains(raw, '{t}')::INT" for t in _MONEY_SIGNS)} AS signs FROM w
+)
+SELECT doc_id, coalesce(ok, false) AND md <> '' AS ok, engine, CASE WHEN confidence >= 0.72 THEN 'high' WHEN confidence >= 0.45 THEN 'medium' ELSE 'low' END AS tier,
+    CASE WHEN length(raw) < 20 THEN 'photo' WHEN pipes >= 4 THEN 'table_dense' WHEN {_BEST} > 0 THEN CASE {" ".join(f"WHEN {n} = {_BEST} THEN '{n}'" for n in _CLASS_WORDS)} END WHEN signs >= 3 THEN 'table_dense' ELSE 'photo' END AS content_class,
+    length({_strip("md")}) AS chars, least(len(ls), 300) AS n_blocks, least(len(list_filter(ls, lambda x: {_is_row("x")})), 120) AS n_rows, n_attempts
+FROM c JOIN n USING (doc_id)
+"""
+
+
+def _receipt_key(c: str) -> str:
+    s = f"replace(upper(coalesce({c}, '')), '$B', ' SB ')"
+    for pattern, to in ((r"\bS\s*/\s*B\b", " SB "), (r"\bS\.?\s*B\.?\b", " SB "), (r"\bSDN\s+(?:EHD|BHO|BND|GHD|8HD|BHD)\b", " SDN BHD "), ("[^A-Z0-9]+", " ")):
+        s = f"regexp_replace({s}, '{pattern}', '{to}', 'g')"
+    return f"trim({s})"
+
+
+def _cents(c: str) -> str:
+    found = rf"regexp_extract(replace({c}, ',', ''), '\d+(?:\.\d+)?', 0)"
+    return f"CASE WHEN {found} <> '' THEN printf('%.2f', CAST(nullif({found}, '') AS DOUBLE)) ELSE '' END"
+
+
+def _receipt_date(c: str) -> str:
+    """DD/MM/YYYY of a date as OCR may have read it, or ''."""
+    clean = f"translate(trim({c}), 'OoQDIl|SsBeZz', '0000111558222')"
+    part = lambda form, g: f"try_cast(regexp_extract({clean}, '{form}', {g}) AS INT)"
+    first = f"regexp_matches({clean}, '{_FIRST}')"
+    day, month = (f"CASE WHEN {first} THEN {part(_FIRST, g)} ELSE {part(_LAST, h)} END" for g, h in ((1, 3), (2, 2)))
+    short = f"(CASE WHEN {first} THEN {part(_FIRST, 3)} + CASE WHEN {part(_FIRST, 3)} < 100 THEN 2000 ELSE 0 END ELSE {part(_LAST, 1)} END)"
+    year = f"(CASE WHEN {short} > 2035 AND {short} <= 2099 THEN 2010 + {short} % 10 ELSE {short} END)"
+    return f"CASE WHEN ({day}) BETWEEN 1 AND 31 AND ({month}) BETWEEN 1 AND 12 AND {year} BETWEEN 2010 AND 2035 THEN printf('%02d/%02d/%04d', {day}, {month}, {year}) ELSE '' END"
+
+
+_READ_DATE = r"[0-9OoQDISsl|B]{1,2}\s*[/-]\s*[0-9OoQDISsl|Be]{1,2}\s*[/-]?\s*(?:20)?[0-9OoQDISsl|B]{2,4}"
+RECEIPT_SCORES = rf"""
+WITH r AS (
+    SELECT DISTINCT * FROM receipt_cases
+), t AS (
+    SELECT doc_id AS id, string_agg(value, chr(10) ORDER BY value) AS text FROM (SELECT DISTINCT doc_id, value FROM field_candidates WHERE value IS NOT NULL AND doc_id IN (SELECT id FROM r)) GROUP BY 1
+), e AS (
+    SELECT r.id, coalesce(t.text, '') AS text, {_receipt_key("expected.company")} AS want, {_receipt_key("coalesce(t.text, '')")} AS have, {_cents("coalesce(expected.total, '')")} AS amount, {_receipt_date("coalesce(expected.date, '')")} AS day, {_receipt_key("expected.address")} AS place
+    FROM r LEFT JOIN t ON r.id = t.id WHERE expected IS NOT NULL
+), w AS (
+    SELECT *, list_distinct(list_filter(string_split(want, ' '), lambda x: x <> '')) AS ww, list_distinct(list_filter(string_split(have, ' '), lambda x: x <> '')) AS hw, list_filter(string_split(place, ' '), lambda x: length(x) > 1) AS pw,
+        [day, replace(day, '/', '-'), replace(day, '/', '.'), ltrim(day[1:2], '0') || '/' || ltrim(day[4:5], '0') || '/' || day[7:10], day[1:6] || day[9:10]] AS forms FROM e
+), f AS (
+    SELECT id, want = '' OR (have <> '' AND (contains(have, want) OR contains(want, have) OR len(list_intersect(ww, hw)) / len(ww) >= 0.8)) AS company_ok,
+        day = '' OR len(list_filter(forms, lambda x: contains(text, x))) > 0 OR len(list_filter(regexp_extract_all(text, '{_READ_DATE}'), lambda x: {_receipt_date("x")} = day)) > 0 AS date_ok,
+        amount = '' OR len(list_filter(regexp_extract_all(text, '\d+(?:[,.]\d{{2}})'), lambda x: {_cents("x")} = amount)) > 0 AS total_ok,
+        CASE WHEN len(pw) = 0 THEN 1.0 ELSE len(list_filter(pw, lambda x: list_contains(hw, x))) / len(pw) END AS covered
+    FROM w
+)
+SELECT id, company_ok, date_ok, total_ok, round(covered, 4) AS address_coverage, covered >= 0.6 AS address_ok, CAST(round_even((company_ok::INT + date_ok::INT + total_ok::INT + (covered >= 0.6)::INT) / 4 * 100.0, 0) AS INT) AS score FROM f
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     here = globals()
-    names = ("order_accuracy", "value_keys", "number_texts", "date_texts", "consensus_keys", "text_quality", "engine_comparison", "content_classes", "text_counts", "recovered_tables", "text_blocks", "ranked_candidates", "line_votes", "best_attempts", "routed_attempts", "latency_parts", "engine_chains", "token_recall", "expanded_manifest", "step_summary", "release_grade", "duplicate_ids", "leak_scan", "lane_slo", "lane_readiness", "lane_trailing", "streaming_slo", "source_drift", "unread_documents", "artifact_texts", "fallback_escalations", "route_latencies", "merged_latencies", "selected_cases", "positive_indexes", "attempt_counts", "run_means", "queue_errors", "case_table_rows")
+    names = ("order_accuracy", "value_keys", "number_texts", "date_texts", "consensus_keys", "text_quality", "engine_comparison", "content_classes", "text_counts", "recovered_tables", "text_blocks", "ranked_candidates", "line_votes", "best_attempts", "routed_attempts", "latency_parts", "engine_chains", "token_recall", "expanded_manifest", "step_summary", "release_grade", "duplicate_ids", "leak_scan", "lane_slo", "lane_readiness", "lane_trailing", "streaming_slo", "source_drift", "unread_documents", "artifact_texts", "fallback_escalations", "route_latencies", "merged_latencies", "selected_cases", "positive_indexes", "attempt_counts", "run_means", "queue_errors", "case_table_rows", "canonical_results", "receipt_scores")
     return {n: here[n.upper()] for n in names}
