@@ -29,14 +29,21 @@ def window_slo(events: DataFrame, length: str = "24 hours", slide: str | None =
 def trailing_counts(events: DataFrame, hours: int = 24) -> DataFrame:
     """(event_seq, engine, n, failures): at each event, its lane's events in the hours up to it.
 
-    A lane's events are cut by time into buckets of that length; each event meets its own bucket and the one before, so
-    no task holds a lane's whole history.
+    A lane's events are cut by time into buckets of that length; each bucket also gets the events of the one before as
+    rows that take themselves off again where the hours are over. So no task holds a lane's whole history, and each
+    bucket's counts are running sums: a frame that slides would be summed anew for every event. Events without a time
+    lie in no window.
     """
-    span = hours * 3600
-    e = events.select("event_seq", "engine", F.unix_micros("ts").alias("us"), (~F.col("ok")).cast("int").alias("bad")).withColumn("bucket", F.floor(F.col("us") / (span * 1_000_000)))
-    both = e.withColumn("own", F.lit(True)).unionByName(e.withColumns({"bucket": F.col("bucket") + 1, "own": F.lit(False)}))
-    w = Window.partitionBy("engine", "bucket").orderBy("us").rangeBetween(-span * 1_000_000, 0)
-    return both.withColumns({"n": F.count(F.lit(1)).over(w), "failures": F.sum("bad").over(w)}).where("own").select("event_seq", "engine", "n", "failures")
+    span = hours * 3600 * 1_000_000
+    us = F.unix_micros("ts")
+    e = events.where("ts is not null").select("event_seq", "engine", us.alias("us"), (us - F.pmod(us, F.lit(span))).alias("bucket"), (~F.col("ok")).cast("int").alias("bad"))
+    # twice the time, and one more for an end: an event still counts at the very end of its hours
+    own = e.select("event_seq", "engine", "bucket", (F.col("us") * 2).alias("at"), F.lit(1).alias("one"), "bad")
+    ends = e.select("event_seq", "engine", F.col("bucket") + span, (F.col("us") + span) * 2 + 1, F.lit(-1), -F.col("bad"))
+    lane = Window.partitionBy("engine", "bucket").orderBy("at")
+    upto, whole = lane.rangeBetween(Window.unboundedPreceding, Window.currentRow), lane.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = lambda c: F.sum(c).over(upto) - F.sum(F.least(F.col(c), F.lit(0))).over(whole)
+    return own.union(ends).withColumns({"n": counted("one"), "failures": counted("bad")}).where("one = 1").select("event_seq", "engine", "n", "failures")
 
 
 def readiness(slo: DataFrame, caps: dict[str, float], default_cap: float = 30000.0) -> DataFrame:

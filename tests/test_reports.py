@@ -83,6 +83,19 @@ def test_service_levels(spark):
     assert ready[0].reason == "p95_latency" and not ready[0].ready
 
 
+def test_trailing_counts_are_running_sums(spark):
+    """Against every pair of events, with ties, ends of the hours, and times unknown; no frame slides, as Spark sums such a frame anew for each event."""
+    at = lambda s: dt.datetime(1969, 12, 31) + dt.timedelta(seconds=s)
+    rows = [(i, (None, "a", "b")[i % 3], at(i * 7919 % 300 * 1800), i % 4 != 0) for i in range(400)] + [(400, "a", None, False), (401, "a", None, True)]
+    e = spark.createDataFrame(rows, "event_seq long, engine string, ts timestamp, ok boolean")
+    known, day = [r for r in rows if r[2]], dt.timedelta(hours=24)
+    near = lambda r: [x for x in known if x[1] == r[1] and r[2] - day <= x[2] <= r[2]]
+    out = slo.trailing_counts(e, 24)
+    assert {tuple(r) for r in out.collect()} == {(r[0], r[1], len(near(r)), sum(not x[3] for x in near(r))) for r in known}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "specifiedwindowframe(RangeFrame, -" not in plan
+
+
 def test_streams_equal_batches(spark, tmp_path):
     slo.lane_events(events(spark)).coalesce(1).write.parquet(str(tmp_path / "e"))
     stream = spark.readStream.schema(slo.lane_events(events(spark)).schema).parquet(str(tmp_path / "e"))
