@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -34,34 +36,71 @@ def common_specs() -> Column:
     return F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, a)).alias("aliases"), F.lit(k).alias("type")) for n, a, k in COMMON_FIELDS])
 
 
+#: Rows and characters of a batch that goes back to the JVM, and texts read at once: a text offers hundreds of rows, each with its line.
+ROWS_AT_ONCE, CHARS_AT_ONCE, TEXTS_AT_ONCE = 10_000, 8 << 20, 256
+
+
 def offered(df: DataFrame, ids: list[str], text: str = "text", specs: str = "specs") -> DataFrame:
     """(ids, field, kind, aliases, value, ..., gen_seq): every candidate in reading order, one Arrow pass, no shuffle.
 
     specs is a column of SPEC; a spec without aliases uses its name. Null or empty texts and specs give no row.
     """
+
+    return _rows(df, ids, text, specs, _every, "")
+
+
+def _every(lines: list[str], wanted: list[plain.Spec]) -> Iterator[tuple]:
+    found = ((spec, x) for spec in wanted for x in plain.candidates(lines, *spec))
+    return ((spec, (n,), x) for n, (spec, x) in enumerate(found))
+
+
+def _best(df: DataFrame, ids: list[str], text: str, specs: str, top: int) -> DataFrame:
+    """The columns of offered, and `rank`: the candidates of each text that `ranked` leaves of it."""
+
+    def best(lines: list[str], wanted: list[plain.Spec]) -> Iterator[tuple]:
+        return ((spec, (n, rank), found) for spec, rank, n, found in plain.best_candidates(lines, wanted, top))
+
+    return _rows(df, ids, text, specs, best, ", rank int")
+
+
+_TYPES = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.string(), pa.int32(), pa.int32()]
+
+
+def _rows(df: DataFrame, ids: list[str], text: str, specs: str, of: Callable[[list[str], list[plain.Spec]], Iterator[tuple]], more: str) -> DataFrame:
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in ids)
-    names = [x.split()[0] for x in _ROWS.split(", ")]
+    names = [x.split()[0] for x in (_ROWS + more).split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at: list[int] = []
-            rows: list[tuple] = []
-            for i, (value, wanted) in enumerate(zip(batch.column(len(ids)).to_pylist(), batch.column(len(ids) + 1).to_pylist(), strict=True)):
-                n = 0
-                lines = plain.read_lines(value)
-                for spec in wanted or () if value else ():
-                    name, kind = spec["name"] or "", (spec["type"] or "text").lower().strip()
-                    aliases = tuple(a for a in spec["aliases"] or [] if a) or (name,)
-                    for found in plain.candidates(lines, name, aliases, kind):
-                        at.append(i)
-                        rows.append((name, kind, list(aliases), *found, n))
-                        n += 1
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-            types = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.string(), pa.int32()]
-            kept = [batch.column(j).take(pa.array(at, pa.int64())) for j in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*ids, *names])
-
-    return df.select(*ids, F.col(text), F.col(specs)).mapInArrow(run, f"{kinds}, {_ROWS}")
+            for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                yield from _offers(batch.slice(start, TEXTS_AT_ONCE), ids, names, of)
+
+    return df.select(*ids, F.col(text), F.col(specs)).mapInArrow(run, f"{kinds}, {_ROWS}{more}")
+
+
+def _offers(batch: pa.RecordBatch, ids: list[str], names: list[str], of: Callable[[list[str], list[plain.Spec]], Iterator[tuple]]) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch (ids, text, specs), handed on in batches of bounded size."""
+    at: list[int] = []
+    rows: list[tuple] = []
+    chars = 0
+
+    def out() -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+        kept = [batch.column(j).take(pa.array(at, pa.int64())) for j in range(len(ids))]
+        return pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(columns, _TYPES, strict=False))], names=[*ids, *names])
+
+    for i, (value, asked) in enumerate(zip(batch.column(len(ids)).to_pylist(), batch.column(len(ids) + 1).to_pylist(), strict=True)):
+        if not value or not asked:
+            continue
+        wanted = [(x["name"] or "", tuple(a for a in x["aliases"] or [] if a) or (x["name"] or "",), (x["type"] or "text").lower().strip()) for x in asked]
+        for (name, aliases, kind), number, found in of(plain.read_lines(value), wanted):
+            at.append(i)
+            rows.append((name, kind, aliases, *found, *number))
+            chars += len(found[0]) + len(found[1]) + len(found[2])
+            if len(rows) >= ROWS_AT_ONCE or chars >= CHARS_AT_ONCE:
+                yield out()
+                at, rows, chars = [], [], 0
+    yield out()
 
 
 def ranked(rows: DataFrame, keys: list[str], top: int = TOP, *, field: str = "field", value: str = "value", norm: str = "normalized_value", confidence: str = "confidence", line: str = "line_index", seq: str = "gen_seq") -> DataFrame:
@@ -81,6 +120,15 @@ def ranked(rows: DataFrame, keys: list[str], top: int = TOP, *, field: str = "fi
 
 
 def field_candidates(df: DataFrame, ids: list[str], text: str = "text", specs: str = "specs", top: int = TOP) -> DataFrame:
-    """offered and ranked: the table of field candidates."""
-    rows = ranked(offered(df, ids, text, specs), ids, top)
-    return rows.withColumn("confidence", F.round("confidence", 3))
+    """offered and ranked: the table of field candidates.
+
+    Where one text has the ids, alone or in repeated rows, its candidates are ranked where they are found and only the
+    `top` of a field leave the task. Those of different texts with the same ids are ranked together.
+    """
+    said = F.xxhash64(text, specs)
+    texts = df.groupBy(*ids).agg(F.min(said).alias("_least"), F.max(said).alias("_most"), F.first(text).alias(text), F.first(specs).alias(specs))
+    own = _best(texts.where("_least = _most"), ids, text, specs, top)
+    several = texts.where("_least <> _most").select(*[F.col(c).alias(f"_{c}") for c in ids])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ids])
+    shared = ranked(offered(df.join(several, same, "left_semi"), ids, text, specs), ids, top)
+    return own.unionByName(shared).withColumn("confidence", F.round("confidence", 3))

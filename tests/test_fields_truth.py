@@ -59,6 +59,29 @@ def test_ranking_keeps_the_first_of_equal_values(spark):
     assert [r.gen_seq for r in fields.ranked(df, ["doc_id"]).orderBy("rank").collect()] == [2, 0, 3]
 
 
+def test_candidates_of_a_text_are_ranked_where_they_are_found(spark):
+    """The same rows as ranking all that is offered, for texts of one id, repeated rows, ids of several texts and null ids."""
+    busy = "\n".join(f"Total: ${i % 7}.{i % 90:02d} tax {i} Total {i}.00 Subtotal ${i}.50 due 2024-01-{i % 28 + 1:02d} amount due {i}%" for i in range(60))
+    rows = [(1, INVOICE), (1, INVOICE), (2, busy), (3, INVOICE), (3, busy), (None, busy), (None, "Total: $5.00"), (4, "Total $5 $5.00 $5,0 5.00\n" * 9), (5, None), (6, "Account: A-1\nAccount A-1\naccount balance"), (7, "$1 | " * 2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("specs", fields.common_specs())
+    got = fields.field_candidates(df, ["doc_id"])
+    want = fields.ranked(fields.offered(df, ["doc_id"]), ["doc_id"]).withColumn("confidence", F.round("confidence", 3))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got.select(*want.columns).collect())) == sorted(map(key, want.collect()))
+
+
+def test_what_texts_offer_is_handed_on_in_batches_of_bounded_size():
+    """Texts offer some hundred rows each, all with their line; a task must not hold those of a whole Arrow batch."""
+    import pyarrow as pa
+
+    specs = [{"name": n, "aliases": list(a), "type": k} for n, a, k in fields.COMMON_FIELDS]
+    many, long = "\n".join(f"Total: ${i}.00 tax {i}" for i in range(300)), "$1.00 x " * 3000
+    for texts in ([many] * 20, [long]):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array([specs] * len(texts))], names=["doc_id", "text", "specs"])
+        out = list(fields._offers(batch, ["doc_id"], [x.split()[0] for x in fields._ROWS.split(", ")], fields._every))
+        assert sum(b.num_rows for b in out) > 40_000 and max(b.num_rows for b in out) <= fields.ROWS_AT_ONCE and max(b.nbytes for b in out) < 4 * fields.CHARS_AT_ONCE
+
+
 ATTEMPTS = "doc_id string, cand_seq int, ok boolean, engine string, preprocess string, markdown string, text string, confidence double, latency_ms double, selection_score double, quality struct<score:double,numeric_fidelity_score:double,structure_score:double>"
 
 
