@@ -378,23 +378,26 @@ def _split_attempts(candidates: DataFrame, frequent: _Packed, shapes: _Packed) -
 
 
 def _read_attempts(attempts: DataFrame, frequent: _Packed) -> DataFrame:
-    """The readings of attempts (the columns of _split_attempts, rest, rest_kinds, found): of a text that runs on, the noise of the markdown's lines and that of the rest."""
+    """The readings of attempts (the columns of _split_attempts, the rest_ columns of _rests, found): of a text that runs on, the noise of the markdown's lines and that of the rest. An attempt's paragraphs go to the end of the longer of the two; they stand with its markdown, if blank too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(frequent)
         for batch in batches:
             rows = []
-            for doc, seq, md, tx, running, labels, rest, rest_kinds, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, seq, md, tx, running, labels, rest, rest_kinds, broken, start, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 _learn(reader, found)
                 key, lines, out = f"{doc}:{seq}", (md or "").split("\n"), {*running, *labels}
                 noise: set[tuple[int, str]] = set()
+                paras = _with_rest(reader, lines, out, rest, broken, start) if rest is not None else None
                 if md and not md.isspace():
                     body = _body(lines, out)
                     noise, fixed, _ = reader.read(lines, body)
                     noise |= {(i, "running") for i in running} | {(i, "page_no") for i in labels}
-                    groups = sd.paragraphs([x if i not in out else "" for i, x in enumerate(lines)])
+                    if paras is None:
+                        paras = _joined(fixed, sd.paragraphs([x if i not in out else "" for i, x in enumerate(lines)]), {i: k for k, i in enumerate(body)})
+                if paras is not None:
                     order = sorted(noise)
-                    rows.append(("candidates", doc, seq, key, "markdown", [i + 1 for i, _ in order], [k for _, k in order], _joined(fixed, groups, {i: k for k, i in enumerate(body)}), False, False, None))
+                    rows.append(("candidates", doc, seq, key, "markdown", [i + 1 for i, _ in order], [k for _, k in order], paras, False, False, None))
                 if tx and not tx.isspace():
                     kinds = _held_kinds(lines, noise, tx)
                     if rest is not None:
@@ -402,7 +405,7 @@ def _read_attempts(attempts: DataFrame, frequent: _Packed) -> DataFrame:
                     rows.append(("candidates", doc, seq, key, "text", [1] * len(kinds), sorted(kinds), [], False, False, None))
             yield _read_batch(rows)
 
-    return attempts.select("doc_id", "page_no", "markdown", "text", "running", "labels", "rest", "rest_kinds", "found").mapInArrow(run, _READ)
+    return attempts.select("doc_id", "page_no", "markdown", "text", "running", "labels", "rest", "rest_kinds", "rest_broken", "rest_start", "found").mapInArrow(run, _READ)
 
 
 def _held_kinds(lines: list[str], noise: set[tuple[int, str]], text: str) -> set[str]:
@@ -509,8 +512,8 @@ def _lines_in(rest: list[str], known: list[tuple[str, str, str, str]], shapes: d
     return out
 
 
-def _rest(lines: list[str], gone: set[int], text: str, known: list[tuple[str, str, str, str]], shapes: dict[str, float]) -> tuple[list[str], set[str]]:
-    """(the body tokens of a text behind its cut markdown, kinds of the running lines and labels among them). A broken word at the markdown's end comes first."""
+def _rest(lines: list[str], gone: set[int], text: str, known: list[tuple[str, str, str, str]], shapes: dict[str, float]) -> tuple[list[str], set[str], int, int]:
+    """(the body tokens of a text behind its cut markdown, kinds of the running lines and labels among them, how many of the first tokens are a broken word at the markdown's end, how many tokens the markdown has before the rest)."""
     tokens, rows = text.split(), [x.split() for x in lines]
     full = [i for i, r in enumerate(rows) if r]
     head = [t for r in rows for t in r]
@@ -522,7 +525,39 @@ def _rest(lines: list[str], gone: set[int], text: str, known: list[tuple[str, st
     rest = tokens[start:]
     taken = _lines_in(rest, known, shapes)
     stream = [t for k, t in enumerate(rest) if k not in taken]
-    return ([tail, *stream] if tail and tail[-1] in sd.HYPHENS else stream), set(taken.values())
+    broken = [tail] if tail and tail[-1] in sd.HYPHENS else []
+    return broken + stream, set(taken.values()), len(broken), start
+
+
+def _before_rest(lines: list[str], gone: set[int], start: int) -> tuple[list[str], list[int]]:
+    """(the lines of a cut markdown with its first `start` tokens, the body lines among them)."""
+    before: list[str] = []
+    for line in lines:
+        words = line.split()
+        if len(words) > start:
+            before.append(" ".join(words[:start]))
+            break
+        before.append(line)
+        start -= len(words)
+    return before, _body(before, gone)
+
+
+def _with_rest(reader: sd.Reader, lines: list[str], gone: set[int], rest: list[str], broken: int, start: int) -> list[str]:
+    """The paragraphs of an attempt whose text runs on past its markdown: those of the markdown's lines before the rest, and the rest, whose lines nothing shows, as what continues the last or one of its own."""
+    before, body = _before_rest(lines, gone, start)
+    stream = rest[broken:]
+    _, fixed, glued = reader.read(before, body, stream[0] if stream else "")
+    paras = _joined(fixed, sd.paragraphs([x if i not in gone else "" for i, x in enumerate(before)]), {i: k for k, i in enumerate(body)})
+    stream = stream[glued:]
+    words: list[str] = list(stream)
+    for k, size, edge in reader.decode(stream, _rest_ends(stream)):
+        words[k : k + size] = [edge.text, *[""] * (size - 1)]
+    more = sd.join_lines(filter(None, words)).strip()
+    last = before[body[-1]].rstrip() if body else ""
+    goes_on = glued or (bool(last) and last[-1] not in ".。!?！？:|" and more[:1].lower() == more[:1])
+    if more and paras and goes_on:
+        return [*paras[:-1], sd.join_lines([paras[-1], more])]
+    return [*paras, more] if more else paras
 
 
 def _rest_ends(stream: list[str]) -> list[int]:
@@ -542,7 +577,7 @@ def _stream_kinds(reader: sd.Reader, stream: list[str]) -> set[str]:
 
 
 def _rests(attempts: DataFrame, frequent: _Packed, shapes: _Packed) -> DataFrame:
-    """(doc_id, page_no, rest, rest_kinds, rest_forms) of the attempts whose text runs on past the markdown, its lines found with those that any attempt of the document shows."""
+    """(doc_id, page_no, rest, rest_kinds, rest_forms, rest_broken, rest_start) of the attempts whose text runs on past the markdown, its lines found with those that any attempt of the document shows."""
     rests = attempts.where("more").select("doc_id", "page_no", "markdown", "text", "running", "labels")
     seen = attempts.select("doc_id", F.explode("known").alias("line")).join(rests.select("doc_id").distinct(), "doc_id", "left_semi")
     rests = rests.join(seen.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("known")), "doc_id", "left")
@@ -553,12 +588,18 @@ def _rests(attempts: DataFrame, frequent: _Packed, shapes: _Packed) -> DataFrame
             rows = []
             for md, tx, running, labels, known in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
                 lines_known = [(x["kind"], x["line"], x["prev"], x["following"]) for x in known or ()]
-                stream, kinds = _rest((md or "").split("\n"), {*running, *labels}, tx, lines_known, make)
-                rows.append((stream, sorted(kinds), sorted(reader.asks(stream, _rest_ends(stream)))))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, _WORDS) for c in columns)], names=["doc_id", "page_no", "rest", "rest_kinds", "rest_forms"])
+                lines, out = (md or "").split("\n"), {*running, *labels}
+                stream, kinds, broken, start = _rest(lines, out, tx, lines_known, make)
+                forms = reader.asks(stream, _rest_ends(stream))
+                before, body = _before_rest(lines, out, start)
+                if body and len(stream) > broken and (end := before[body[-1]].split()[-1])[-1] in sd.HYPHENS:
+                    forms |= reader.asks_divided(end, stream[broken])
+                rows.append((stream, sorted(kinds), sorted(forms), broken, start))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds_of = (_WORDS, _WORDS, _WORDS, pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, k) for c, k in zip(columns, kinds_of, strict=True))], names=["doc_id", "page_no", "rest", "rest_kinds", "rest_forms", "rest_broken", "rest_start"])
 
-    return rests.select("doc_id", "page_no", "markdown", "text", "running", "labels", "known").mapInArrow(run, "doc_id string, page_no int, rest array<string>, rest_kinds array<string>, rest_forms array<string>")
+    return rests.select("doc_id", "page_no", "markdown", "text", "running", "labels", "known").mapInArrow(run, "doc_id string, page_no int, rest array<string>, rest_kinds array<string>, rest_forms array<string>, rest_broken int, rest_start int")
 
 
 def read_all(scan_pages: DataFrame, candidates: DataFrame, documents: DataFrame) -> DataFrame:
@@ -589,7 +630,7 @@ def noisy_lines(read: DataFrame) -> DataFrame:
 
 
 def repaired(read: DataFrame) -> DataFrame:
-    """(tab, rec_key, para_no, text): paragraphs of every scanned document (rec_key doc_id, pages joined) and attempt (rec_key doc_id:cand_seq), numbered from 1.
+    """(tab, rec_key, para_no, text): paragraphs of every scanned document (rec_key doc_id, pages joined) and attempt (rec_key doc_id:cand_seq), numbered from 1. Where an attempt's text runs on past its markdown, so do its paragraphs.
 
     A paragraph that is open at a page's end is continued by the next page's first. Blank pages have none.
     """

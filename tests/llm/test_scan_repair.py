@@ -127,3 +127,15 @@ def test_lines_of_a_text_beyond_its_cut_markdown(spark):
     rows = sr.noisy_lines(sr.read_all(pages, spark.createDataFrame(cands, CANDS), docs)).where("fld = 'text'").collect()
     got = {k: {r.noise for r in rows if r.rec_key == k} for k in ("7:0", "7:1", "8:0", "9:0")}
     assert got == {"7:0": {"hyphen", "running", "page_no"}, "7:1": {"hyphen", "running", "page_no"}, "8:0": {"page_no"}, "9:0": set()}
+
+
+def test_paragraphs_go_on_where_a_text_runs_on_past_its_cut_markdown(spark):
+    pages, _, docs = tables(spark)
+    text = "The invoice lists every certi- f1cate and the delivery office. - 2 - The balance was approved in March and the remaining payment is due."
+    cands = [("1", 0, "The invoice lists every certi-\nf1cate and the deliv...", text, "x"), ("2", 0, None, text, "x"), ("3", 0, "The invoice lists every certi-\nf1cate", text[:37], "x"), ("4", 0, "The invoice lists\n\nThe balance was approved in", "The invoice lists The balance was approved in March.", "x")]
+    read = sr.read_all(pages, spark.createDataFrame(cands, CANDS), docs)
+    paras = {}
+    for r in sr.repaired(read).where("tab = 'candidates'").orderBy("para_no").collect():
+        paras.setdefault(r.rec_key, []).append(r.text)
+    whole = "The invoice lists every certificate and the delivery office. The balance was approved in March and the remaining payment is due."
+    assert paras == {"1:0": [whole], "2:0": [whole], "3:0": ["The invoice lists every certificate"], "4:0": ["The invoice lists", "The balance was approved in March."]}
