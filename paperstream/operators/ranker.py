@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperstream.functions import patterns as P
 from paperstream.functions import text as T
+from paperstream.operators.fields import COMMON_FIELDS
 
 #: Records a model is trained from: the classifier's documented, bounded sample.
 TRAINING_RECORDS = 20_000
@@ -17,12 +18,18 @@ IDENTIFIERS = ("invoice_number", "account")
 _FAR, _AT_ONCE = 1.0, 3
 
 
+def _pattern(label: Column) -> Column:
+    """The ranker's pattern of a label. Those of the common fields are stated; others are built character by character, row by row."""
+    known = F.create_map(*[F.lit(x) for a in dict.fromkeys(a for _, aliases, _ in COMMON_FIELDS for a in aliases) for x in (a, P.bounded_alias(a, "ranker"))])
+    return F.coalesce(F.try_element_at(known, label), T.label_pattern(label, "ranker"))
+
+
 def _label_gaps() -> Column:
     """What stands between each label and the value's first place in its line; a label's last occurrence is the nearest. Empty array without any."""
     at = F.position(F.col("value"), F.col("source_line"))
     # one character of the value closes the text, so that a label can't end within a word
     before = F.substring("source_line", F.lit(1), at)
-    pattern = lambda a: F.concat(F.lit("(?is)^.*"), T.label_pattern(a, "ranker"), F.lit("(.*).$"))
+    pattern = lambda a: F.concat(F.lit("(?is)^.*"), _pattern(a), F.lit("(.*).$"))
     found = F.flatten(F.transform(F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: a != ""), lambda a: F.regexp_extract_all(before, pattern(a), F.lit(1))))
     return F.when((at > 0) & (F.col("value") != ""), found).otherwise(F.array().cast("array<string>"))
 

@@ -141,3 +141,9 @@ def test_ranker_learns_the_right_candidate(spark):
     out = ranker.accuracy(ranker.reranked(rows, ["doc_id"], w), ["doc_id"]).first()
     assert out.records == 30 and out.accuracy == 1.0
     assert ranker.train(rows.where("false"), ["doc_id"]) == dict(ranker.P.RANKER_WEIGHTS)
+
+
+def test_stated_label_patterns_are_those_built(spark):
+    labels = [a for _, aliases, _ in fields.COMMON_FIELDS for a in aliases] + ["Levy no. 7", "", "tarikh_é"]
+    rows = spark.createDataFrame([(a,) for a in labels], "a string").select(ranker._pattern(F.col("a")).alias("x"), ranker.T.label_pattern(F.col("a"), "ranker").alias("y")).collect()
+    assert len(rows) == len(labels) and all(r.x == r.y for r in rows)
