@@ -105,15 +105,15 @@ def _located(parsed: DataFrame, localities: DataFrame) -> DataFrame:
     words = words.select("rec_key", "rest", "word", F.explode(_near_forms("word")).alias("form"))
     towns = localities.select("code", "town", "region", F.explode(_near_forms("town")).alias("form"))
     # sides that a generator multiplied are never broadcast: their size estimate is that before it
-    hits = words.join(towns.hint("merge"), "form").select("rec_key", "code", "region", (F.col("word") != F.col("town")).cast("int").alias("inexact"), (~F.coalesce(F.array_contains("rest", F.col("region")), F.lit(False))).cast("int").alias("elsewhere")).distinct()
+    hits = words.join(towns.hint("merge"), "form").select("rec_key", F.col("code").alias("town_code"), "region", (F.col("word") != F.col("town")).cast("int").alias("inexact"), (~F.coalesce(F.array_contains("rest", F.col("region")), F.lit(False))).cast("int").alias("elsewhere"))
     # regions first, then exact spellings
-    best = hits.groupBy("rec_key").agg(F.min(F.struct("elsewhere", "inexact")).alias("best"))
-    chosen = hits.join(best, "rec_key").where((F.col("elsewhere") == F.col("best.elsewhere")) & (F.col("inexact") == F.col("best.inexact"))).select("rec_key", "code", "region").distinct()
-    chosen = chosen.withColumn("n_localities", F.count(F.lit(1)).over(Window.partitionBy("rec_key")))
-    inherited = others.drop("code", "region").join(chosen, "rec_key").select(*keep, F.col("code").alias("locality"), "n_localities")
+    of_record = Window.partitionBy("rec_key")
+    chosen = hits.groupBy("rec_key", "town_code", "region").agg(F.min(F.struct("elsewhere", "inexact")).alias("rank"))
+    chosen = chosen.withColumn("best", F.min("rank").over(of_record)).where(F.col("rank") == F.col("best")).select("rec_key", "town_code", "region").withColumn("n", F.count(F.lit(1)).over(of_record))
     # an unknown code whose town is unknown too is a locality of its own
-    alone = others.where("code <> ''").join(chosen, "rec_key", "left_anti").select(*keep, F.col("code").alias("locality"), F.lit(1).cast("long").alias("n_localities"))
-    return coded.unionByName(inherited).unionByName(alone)
+    inherited = others.drop("region").join(chosen, "rec_key", "left").where(F.col("town_code").isNotNull() | (F.col("code") != ""))
+    inherited = inherited.select(*keep, F.coalesce("town_code", "code").alias("locality"), F.coalesce("n", F.lit(1)).alias("n_localities"))
+    return coded.unionByName(inherited)
 
 
 def _streets(located: DataFrame) -> DataFrame:
@@ -144,23 +144,27 @@ def _whole_names(named: DataFrame) -> DataFrame:
 
 def _canonical(located: DataFrame, spellings: DataFrame) -> DataFrame:
     """located with each street in its commonest spelling; twice, as the commonest spelling near a spelling may itself belong to a commoner one."""
-    for _ in range(2):
-        located = located.join(spellings, ["locality", *STREET, "street"], "left").withColumn("street", F.coalesce("canon", "street")).drop("canon")
-    return located
+    group = ["locality", *STREET]
+    commoner = spellings.select(*group, F.col("street").alias("canon"), F.col("canon").alias("commoner"))
+    spellings = spellings.join(commoner, [*group, "canon"], "left").select(*group, "street", F.coalesce("commoner", "canon").alias("canon"))
+    return located.join(spellings, [*group, "street"], "left").withColumn("street", F.coalesce("canon", "street")).drop("canon")
 
 
 PLACE = ["locality", *STREET, "street", "number", "unit"]
 
 
 def _placed(receipts: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records with their place, candidate places of the records that stay undecided)."""
+    """(records with their place, candidate places of the records that stay undecided).
+
+    What is used more than once is stored: plans that repeat it grow until planning them fills the driver's memory.
+    """
     parsed = stored(_parsed(address_records(receipts, candidates)), "addresses")
-    located = stored(_located(parsed, _localities(parsed)), "localities")
-    first = _canonical(located, stored(_streets(located), "streets"))
+    located = stored(_located(parsed, stored(_localities(parsed), "towns")), "localities")
+    first = stored(_canonical(located, stored(_streets(located), "streets")), "first_words")
     named = stored(_whole_names(first), "names")
     # names of several words have spellings of their own
     several = named.where(F.col("street").contains(" "))
-    named = _canonical(several, stored(_streets(several), "long_streets")).unionByName(named.where(~F.col("street").contains(" ")))
+    named = stored(_canonical(several, stored(_streets(several), "long_streets")).unionByName(named.where(~F.col("street").contains(" "))), "long_names")
     columns = ["rec_key", "region", *PLACE]
     sure = named.where("n_localities = 1").select(*columns)
     open_ = named.where("n_localities > 1")

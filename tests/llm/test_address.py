@@ -97,3 +97,23 @@ def test_ambiguous_records_are_shown_with_their_candidates(spark):
     found = {x.rec_key: x for x in address.locations(*tables(spark, places)[:2]).collect()}
     assert found["receipt:r2"].localities == ["30000", "31000"] and found["receipt:r2"].place_id is None and found["receipt:r2"].region == "utara"
     assert found["receipt:r0"].localities == ["30000"] and found["receipt:r0"].n_records == 2
+
+
+def test_no_plan_repeats_its_parts(spark, monkeypatch):
+    """What the driver holds grows with the largest plans: before parts used more than once were stored, one had 14 joins."""
+    joins = {}
+
+    def counted(df, name):
+        joins[name] = df._jdf.queryExecution().executedPlan().toString().count("Join ")
+        return stored(df, name)
+
+    stored = address.stored
+    monkeypatch.setattr(address, "stored", counted)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        r, c, _ = tables(spark)
+        counted(address.same_location(r, c), "pairs")
+        counted(address.locations(r, c), "locations")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(joins.values()) <= 5
