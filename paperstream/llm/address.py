@@ -136,7 +136,7 @@ def _whole_names(named: DataFrame) -> DataFrame:
     seen = seen.groupBy(*group, "tail").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("whole") & (F.col("words") == F.col("size"))).alias("apart")).where(F.col("apart") >= ALONE_PART * F.col("n"))
     open_ = named.where(~F.col("whole"))
     tried = open_.select(*group, "more").distinct().select(*group, "more", F.posexplode(runs).alias("words", "tail"))
-    found = tried.join(seen, [*group, "tail"]).groupBy(*group, "more").agg(F.max(F.struct("words", "tail")).alias("found"))
+    found = tried.join(seen.hint("merge"), [*group, "tail"]).groupBy(*group, "more").agg(F.max(F.struct("words", "tail")).alias("found"))
     everything = F.array_join("more", " ")
     open_ = open_.join(found, [*group, "more"], "left").withColumn("street", F.rtrim(F.concat_ws(" ", "street", F.coalesce("found.tail", everything)))).drop("found")
     return named.where("whole").withColumn("street", F.rtrim(F.concat_ws(" ", "street", everything))).unionByName(open_)
@@ -186,7 +186,7 @@ def locations(receipts: DataFrame, candidates: DataFrame) -> DataFrame:
     per = placed.groupBy(*PLACE).agg(F.min("rec_key").alias("representative"), F.count(F.lit(1)).alias("n_records"))
     per = per.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     parts = ["region", *PLACE]
-    sure = placed.withColumn("salt", salt).join(per, [*PLACE, "salt"]).select("rec_key", F.xxhash64(*PLACE).alias("place_id"), "representative", "n_records", *parts, F.array("locality").alias("localities"))
+    sure = placed.withColumn("salt", salt).join(per.hint("merge"), [*PLACE, "salt"]).select("rec_key", F.xxhash64(*PLACE).alias("place_id"), "representative", "n_records", *parts, F.array("locality").alias("localities"))
     several = open_.groupBy("rec_key").agg(*[F.when(F.count_distinct(c) == 1, F.min(c)).alias(c) for c in parts], F.array_sort(F.collect_set("locality")).alias("localities"))
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("place_id", "long"), ("representative", "string"), ("n_records", "long"))]
     return sure.unionByName(several.select("rec_key", *nothing, *parts, "localities"))
@@ -202,4 +202,4 @@ def same_location(receipts: DataFrame, candidates: DataFrame) -> DataFrame:
     placed, _ = _placed(receipts, candidates)
     a = placed.select(*PLACE, F.col("rec_key").alias("rec_a"), F.pmod(F.xxhash64("rec_key"), F.lit(SALTS)).cast("int").alias("salt"))
     b = placed.select(*PLACE, F.col("rec_key").alias("rec_b"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return a.join(b, [*PLACE, "salt"]).where(F.col("rec_a") < F.col("rec_b")).select("rec_a", "rec_b")
+    return a.join(b.hint("merge"), [*PLACE, "salt"]).where(F.col("rec_a") < F.col("rec_b")).select("rec_a", "rec_b")

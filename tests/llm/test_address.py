@@ -117,3 +117,15 @@ def test_no_plan_repeats_its_parts(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert max(joins.values()) <= 5
+
+
+def test_no_side_multiplied_by_a_generator_is_broadcast(spark):
+    """Its size estimate is that before the generator, so a broadcast of it may be many times the threshold."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        r, c, _ = tables(spark)
+        for df in (address.same_location(r, c), address.locations(r, c)):
+            salted = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [" in line and "salt#" in line]
+            assert salted and all("SortMergeJoin" in line for line in salted)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
